@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
@@ -92,17 +93,13 @@ def lists(values: np.ndarray, ends: list[int] | np.ndarray, kind: pa.DataType, n
     return pa.ListArray.from_arrays(pa.array(np.asarray(ends, np.int32)), pa.array(values, kind), mask=mask)
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``chars`` characters of ``column``, so that long texts don't fill a worker's memory."""
-    size = np.diff(np.frombuffer(_offsets(batch.column(batch.schema.get_field_index(column))), np.int32)).astype(np.int64).cumsum()
+def slices(batch: pa.RecordBatch, column: str, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of ``column``, so that long texts don't fill a worker's memory."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+    total = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
     at, n = 0, batch.num_rows
     while at < n:
-        base = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, base + chars, "right")))
-        yield batch.slice(at, min(end, n) - at)
+        base = total[at - 1] if at else 0
+        end = min(max(at + 1, int(np.searchsorted(total, base + size, "right"))), n)
+        yield batch.slice(at, end - at)
         at = end
-
-
-def _offsets(column: pa.Array) -> bytes:
-    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32).tobytes()
