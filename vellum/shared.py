@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _made: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="vellum-")) / "vellum.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +68,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Repartition only if the scan gives fewer tasks than there are cores (one small file, say)."""
+    ship(df.sparkSession)
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
@@ -72,4 +90,5 @@ def anti(df: DataFrame, keys: DataFrame, on: str, rows: int = BROADCAST_ROWS) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a test directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
