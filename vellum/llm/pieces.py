@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.words import WORD, slices
+from vellum.shared import ship
 
 #: Characters of the blocks compared on either side of a boundary, and places their words are counted in.
 BLOCK, PLACES = 600, 128
@@ -99,5 +100,6 @@ def pieces(df: DataFrame, rec: str, limit: int, overlap: int, text: str = "text"
     """``rec_id, piece, start, end, text`` of the rows of ``df`` above the limit, pieces counted from 0."""
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
+    ship(df.sparkSession)
     rows = df.select(F.col(rec).cast("long").alias("rec_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > limit)
     return rows.mapInArrow(_pieces(limit, overlap), "rec_id long, piece int, start long, end long, text string")
