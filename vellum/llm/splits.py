@@ -101,17 +101,32 @@ def chain(a: list[str], b: list[str]) -> tuple[float, float]:
     return len(in_a) / max(1, len(a)), len(in_b) / max(1, len(b))
 
 
+def _unique_grams(texts: list[str]) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes."""
+    h, ends = word_hashes(texts)
+    g = grams(h, SHINGLE)
+    return [np.unique(g[ends[i] : max(ends[i], ends[i + 1] - SHINGLE + 1)]) for i in range(len(texts))]
+
+
 def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for c1, c2, t1, t2 in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                a, z = words(t1), words(t2)
-                s = jaccard(*(set(zip(*(w[i:] for i in range(SHINGLE)), strict=False)) for w in (a, z)))
-                if s >= threshold:
-                    out.append((c1, c2, s, *chain(a, z)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], ["e", "t", "similarity", "covered", "covers"])
+        for whole in batches:
+            for b in slices(whole, "tt", 4_000_000):
+                es, ts, left, right = (b.column(i).to_pylist() for i in range(4))
+                own = dict(zip(es, left, strict=True))
+                of = dict(zip(own, _unique_grams(list(own.values())), strict=True))
+                out = []
+                for e, t, t1, t2, y in zip(es, ts, left, right, _unique_grams(right), strict=True):
+                    x = of[e]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both < threshold * (len(x) + len(y) - both) - 1e-6:
+                        continue  # hashes that agree by chance can only raise it
+                    a, z = words(t1), words(t2)
+                    s = jaccard(*(set(zip(*(w[i:] for i in range(SHINGLE)), strict=False)) for w in (a, z)))
+                    if s >= threshold:
+                        out.append((e, t, s, *chain(a, z)))
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], ["e", "t", "similarity", "covered", "covers"])
 
     return run
 
