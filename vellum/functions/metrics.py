@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellum.functions import fixed
-from vellum.functions.text import sentences, word_count
+from vellum.functions.text import let, sentences, word_count
 
 
 def literal_core(pattern: str) -> str:
@@ -64,8 +64,8 @@ def sentence_lengths(text: Column) -> Column:
 
 def burstiness(text: Column) -> Column:
     """Population deviation of the words of a sentence; 0 under two sentences."""
-    lengths = sentence_lengths(text)
-    return F.when(F.size(lengths) < 2, 0.0).otherwise(fold_deviation(lengths, fold_mean(lengths)))
+    deviation = lambda v: let(fold_mean(v), lambda m: fold_deviation(v, m))
+    return let(sentence_lengths(text), lambda v: F.when(F.size(v) < 2, 0.0).otherwise(deviation(v)))
 
 
 def share_kept(before: Column, after: Column) -> Column:

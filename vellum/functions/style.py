@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellum.functions.metrics import fold_deviation, fold_mean, sentence_lengths
-from vellum.functions.text import SPACE, word_count
+from vellum.functions.text import SPACE, let, word_count
 
 FIGURES = ("mean_length", "deviation", "commas", "quotes", "adverbs")
 
@@ -16,17 +16,20 @@ def style_vector(text: Column) -> Column:
 
     A text without sentences has the length 0, one without words divides by 1.
     """
-    found = sentence_lengths(text)
-    lengths = F.when(F.size(found) == 0, F.array(F.lit(0.0))).otherwise(found)
     words = F.greatest(word_count(text), F.lit(1))
     count = lambda mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
-    return F.struct(
-        fold_mean(lengths).alias("mean_length"),
-        fold_deviation(lengths, fold_mean(lengths)).alias("deviation"),
-        (count(",") / F.greatest(F.size(found), F.lit(1))).alias("commas"),
-        (count('"') / words).alias("quotes"),
-        (F.regexp_count(text, F.lit(rf"ly(?![^{SPACE}])")) / words).alias("adverbs"),
-    )
+
+    def figures(found: Column, v: Column, mean: Column) -> Column:
+        return F.struct(
+            mean.alias("mean_length"),
+            fold_deviation(v, mean).alias("deviation"),
+            (count(",") / F.greatest(F.size(found), F.lit(1))).alias("commas"),
+            (count('"') / words).alias("quotes"),
+            (F.regexp_count(text, F.lit(rf"ly(?![^{SPACE}])")) / words).alias("adverbs"),
+        )
+
+    some = lambda found: F.when(F.size(found) == 0, F.array(F.lit(0.0))).otherwise(found)
+    return let(sentence_lengths(text), lambda found: let(some(found), lambda v: let(fold_mean(v), lambda m: figures(found, v, m))))
 
 
 def distance(a: Column, b: Column) -> Column:

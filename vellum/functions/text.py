@@ -6,6 +6,8 @@ to any engine. ``SPACE`` is the inside of a character class.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ PARAGRAPH_BREAK = rf"\n[{SPACE}]*\n"
 SENTENCE_END = "[.!?]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where a lambda function repeats it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     """Without outer white space."""
     return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
@@ -91,6 +98,11 @@ def rounded(x: Column, places: int) -> Column:
     return F.bround(x, places)
 
 
+def six(x: Column) -> Column:
+    """Rounded half up to 6 places in double arithmetic, which every engine does alike."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def lossy_text(raw: Column) -> Column:
     """UTF-8 bytes as text: undecodable bytes are dropped and line ends made ``\\n``."""
     text = F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))

@@ -41,4 +41,4 @@ def keep_report(df: DataFrame, keep: Column) -> DataFrame:
     of = df.agg(F.count("*").alias("total"), F.count_if(keep).alias("kept"))
     rate = F.when(F.col("total") == 0, 0.0).otherwise(F.col("kept") / F.col("total"))
     warning = F.when((F.col("total") > 0) & (rate > fixed.KEEP_HIGH), "high").when((F.col("total") > 0) & (rate < fixed.KEEP_LOW), "low").otherwise("none")
-    return of.select("total", "kept", (F.col("total") - F.col("kept")).alias("dropped"), F.round(rate, 6).alias("rate"), warning.alias("warning"))
+    return of.select("total", "kept", (F.col("total") - F.col("kept")).alias("dropped"), rate.alias("rate"), warning.alias("warning"))

@@ -51,4 +51,4 @@ def first_excerpts(excerpts: DataFrame) -> DataFrame:
 
 def by_source(excerpts: DataFrame) -> DataFrame:
     """Excerpts and words of each source."""
-    return excerpts.groupBy("source").agg(F.count("*").alias("excerpts"), F.sum("word_count").cast("long").alias("words"), F.round(F.avg("word_count"), 6).alias("mean_words"))
+    return excerpts.groupBy("source").agg(F.count("*").alias("excerpts"), F.sum("word_count").cast("long").alias("words"), F.avg("word_count").alias("mean_words"))

@@ -1,4 +1,8 @@
-"""All queries over the test tables."""
+"""All queries over the test tables, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from vellum.plans.core import QUERIES
+from vellum.plans.core_sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
