@@ -38,8 +38,8 @@ def slop_hits(text: Column, patterns: list[str] | None = None) -> Column:
 
 
 def per_thousand(hits: Column, words: Column) -> Column:
-    """Hits for each 1,000 words; 0 without words."""
-    return F.when(words == 0, 0.0).otherwise(hits / (words / 1000.0))
+    """Hits for each 1,000 words; 0 without words. ``words`` stands once in it, so it is counted once."""
+    return F.coalesce(F.try_divide(hits.cast("double"), words / 1000.0), hits * F.lit(0.0))
 
 
 def slop_score(text: Column, patterns: list[str] | None = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellum.functions.metrics import fold_deviation, fold_mean, sentence_lengths
-from vellum.functions.text import SPACE, let, word_count
+from vellum.functions.text import BLANK, let, word_count
 
 FIGURES = ("mean_length", "deviation", "commas", "quotes", "adverbs")
 
@@ -25,7 +25,7 @@ def style_vector(text: Column) -> Column:
             fold_deviation(v, mean).alias("deviation"),
             (count(",") / F.greatest(F.size(found), F.lit(1))).alias("commas"),
             (count('"') / words).alias("quotes"),
-            (F.regexp_count(text, F.lit(rf"ly(?![^{SPACE}])")) / words).alias("adverbs"),
+            (F.regexp_count(text, F.lit(rf"(?U)ly(?![^{BLANK}])")) / words).alias("adverbs"),
         )
 
     some = lambda found: F.when(F.size(found) == 0, F.array(F.lit(0.0))).otherwise(found)

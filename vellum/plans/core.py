@@ -20,7 +20,7 @@ from vellum.operators import segment as S
 from vellum.operators import split as L
 from vellum.operators.ranks import batches, ranked, sample, seeded
 from vellum.operators.style import style_references
-from vellum.shared import table
+from vellum.shared import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 Six = T.six
@@ -33,7 +33,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _books(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "raw_texts").select("path", "text")
+    return spread(table(s, d, "raw_texts").select("path", "text"))
 
 
 def _excerpts(s: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def segment_books(s: SparkSession, d: str) -> DataFrame:
 @query
 def segment_small(s: SparkSession, d: str) -> DataFrame:
     """Smaller excerpts, of documents whose paragraphs are lines."""
-    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    docs = spread(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"))
     return S.segment_books(docs, 60, 140, "\n").select("id", "path", "pos", "word_count")
 
 
@@ -125,17 +125,17 @@ def base_id_parse(s: SparkSession, d: str) -> DataFrame:
 @query
 def slop_scores(s: SparkSession, d: str) -> DataFrame:
     c, x = F.col("clean"), F.col("sloppy")
-    return table(s, d, "raw_pairs").select("line_no", slop_hits(x).alias("hits"), Six(slop_score(x)).alias("slop"), Six(slop_score(c)).alias("clean_slop"))
+    return spread(table(s, d, "raw_pairs").select("line_no", "clean", "sloppy")).select("line_no", slop_hits(x).alias("hits"), Six(slop_score(x)).alias("slop"), Six(slop_score(c)).alias("clean_slop"))
 
 
 @query
 def burstiness_scores(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "raw_excerpts").select("line_no", Six(burstiness(F.col("text"))).alias("burstiness"))
+    return spread(table(s, d, "raw_excerpts").select("line_no", "text")).select("line_no", Six(burstiness(F.col("text"))).alias("burstiness"))
 
 
 @query
 def style_vectors(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "raw_excerpts").where("text is not null").select("line_no", style_vector(F.col("text")).alias("v"))
+    v = spread(table(s, d, "raw_excerpts").where("text is not null").select("line_no", "text")).select("line_no", style_vector(F.col("text")).alias("v"))
     return v.select("line_no", *(Six(F.col("v")[f]).alias(f) for f in FIGURES))
 
 
@@ -145,7 +145,7 @@ def style_vectors(s: SparkSession, d: str) -> DataFrame:
 @query
 def style_distances(s: SparkSession, d: str) -> DataFrame:
     """Whether the draft or the edited draft is nearer in style to the clean text."""
-    rows = table(s, d, "raw_pairs").where("sloppy is not null")
+    rows = spread(table(s, d, "raw_pairs").where("sloppy is not null").select("line_no", "clean", "sloppy"))
     v = rows.select("line_no", style_vector(F.col("clean")).alias("r"), style_vector(F.col("sloppy")).alias("b"), style_vector(hooks.edited(F.col("sloppy"))).alias("e"))
     return v.select("line_no", Six(distance(F.col("b"), F.col("r"))).alias("draft_distance"), Six(distance(F.col("e"), F.col("r"))).alias("edited_distance"), closer(F.col("r"), F.col("b"), F.col("e")).alias("closer"))
 
@@ -153,7 +153,7 @@ def style_distances(s: SparkSession, d: str) -> DataFrame:
 @query
 def entity_overlap_heuristic(s: SparkSession, d: str) -> DataFrame:
     a, b = hooks.entities(F.col("clean")), hooks.entities(F.col("sloppy"))
-    rows = table(s, d, "raw_pairs").where("sloppy is not null").select("line_no", a.alias("a"), b.alias("b"))
+    rows = spread(table(s, d, "raw_pairs").where("sloppy is not null").select("line_no", "clean", "sloppy")).select("line_no", a.alias("a"), b.alias("b"))
     return rows.select("line_no", F.size("a").alias("entities"), Six(share_kept(F.col("a"), F.col("b"))).alias("kept"), Six(share_new(F.col("a"), F.col("b"))).alias("made_up"))
 
 
@@ -171,7 +171,7 @@ def cosine_search(s: SparkSession, d: str) -> DataFrame:
 def pair_filter_gate(s: SparkSession, d: str) -> DataFrame:
     """Raw pairs with the stand-ins' scores and whether the gate keeps them, bounds on unrounded values."""
     c, x = F.col("clean"), F.col("sloppy")
-    rows = table(s, d, "raw_pairs").where("sloppy is not null").select("line_no", share_kept(hooks.entities(c), hooks.entities(x)).alias("n"), hooks.similarity(hooks.word_set(c), hooks.word_set(x)).alias("m"))
+    rows = spread(table(s, d, "raw_pairs").where("sloppy is not null").select("line_no", "clean", "sloppy")).select("line_no", share_kept(hooks.entities(c), hooks.entities(x)).alias("n"), hooks.similarity(hooks.word_set(c), hooks.word_set(x)).alias("m"))
     return rows.select("line_no", Six(F.col("n")).alias("ner"), Six(F.col("m")).alias("sem"), P.passes(F.col("n"), F.col("m")).alias("keep"))
 
 
@@ -322,7 +322,7 @@ def excerpt_batches(s: SparkSession, d: str) -> DataFrame:
 def _corpora(s: SparkSession, d: str) -> DataFrame:
     model = table(s, d, "raw_pairs").select(F.lit("model").alias("corpus"), F.col("sloppy").alias("text"))
     people = table(s, d, "raw_texts").select(F.lit("people").alias("corpus"), T.head(F.col("text"), fixed.BASELINE_CHARS).alias("text"))
-    return model.unionByName(people)
+    return spread(model.unionByName(people))
 
 
 @query

@@ -69,6 +69,8 @@ def materialize(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Repartition only if the scan gives fewer tasks than there are cores (one small file, say)."""
     ship(df.sparkSession)
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df  # it has an exchange already, and asking for its partitions would run it
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
