@@ -404,7 +404,7 @@ def kpi_segmentation(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def kpi_outlines(s: SparkSession, d: str) -> DataFrame:
-    out = _pairs(s, d).groupBy(T.base_id(F.col("id")).alias("id")).agg(F.min("clean").alias("c")).select("id", T.sentences(F.col("c")).alias("events"), F.element_at(hooks.entities(F.col("c")), 1).alias("pov_state"))
+    out = _pairs(s, d).groupBy(T.base_id(F.col("id")).alias("id")).agg(F.min("clean").alias("c")).select("id", T.sentences(F.col("c")).alias("events"), F.get(hooks.entities(F.col("c")), 0).alias("pov_state"))
     return Q.outline_checks(_excerpts(s, d), out)
 
 
