@@ -65,8 +65,8 @@ def author(name: Column) -> Column:
     under = F.regexp_extract(stem, r"^([^_ ]+(?:_[^_ ]+)+)__", 1)
     dash = F.regexp_extract(stem, r"^(.+?) +[-–—] +\S", 1)
     parts = lambda text, at: F.filter(F.split(text, at), lambda x: x != "")
-    first_last = lambda p: F.when(F.size(p) >= 2, F.struct(F.element_at(p, -1).alias("last"), F.element_at(p, 1).alias("first")))
-    last_first = lambda p: F.when(F.size(p) >= 2, F.struct(F.element_at(p, 1).alias("last"), F.element_at(p, 2).alias("first")))
+    first_last = lambda p: F.when(F.size(p) >= 2, F.struct(F.try_element_at(p, F.lit(-1)).alias("last"), F.get(p, 0).alias("first")))
+    last_first = lambda p: F.when(F.size(p) >= 2, F.struct(F.get(p, 0).alias("last"), F.get(p, 1).alias("first")))
     shouted = (F.upper(stem) == stem) & (F.lower(stem) != stem)
     found = (
         F.when(by != "", first_last(parts(by, "[- ]+")))
