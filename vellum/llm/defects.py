@@ -54,7 +54,7 @@ _REFUSAL = re.compile(
     r"\b(?:i|we)(?:'|’)?(?: a)?m (?:sorry|afraid|unable|not able|not comfortable|not allowed|stopping)|\bso i am stopping|\bi am (?:sorry|unable|not able|not comfortable|not allowed|stopping)"
     r"|\b(?:i|we) (?:can(?:no|'|’)t|can not|cannot|could not|won(?:'|’)t|will not|would not|must decline|have to (?:stop|decline)|must refuse|refuse|decline|may not|do not feel|don(?:'|’)t feel|am going to pass|have no way)\b|\bi(?:'|’)d rather not|\bi would rather not|\bi(?:'|’)d be glad to help with another"
     r"|\bas an? (?:ai|language|writing|assistant|large)\b|\bmy (?:guidelines|instructions|rules|policy|policies)\b|\bagainst (?:my|the) (?:guidelines|instructions|rules|policy)|\bbeyond what i\b|\boutside what i\b"
-    r"|\b(?:request|prompt|outline|content|scene) (?:was|has been|is|did) (?:declined|refused|withheld|rejected|blocked|not pass)|\bcontent (?:withheld|removed|blocked)|\bno draft this time|\bcould you rephrase|\bbetter to ask (?:a|another) human|\bunable to (?:help|comply|assist|complete|write|produce)|\bbreaks the rules"
+    r"|\b(?:request|prompt|outline|content|scene) (?:was|has been|is|did) (?:declined|refused|withheld|rejected|blocked|not pass)|\bcontent (?:withheld|removed|blocked)|\bno draft this time|\bnot something i (?:will|can|could|would|am)\b|\boff the table\b|\bcould you rephrase|\bbetter to ask (?:a|another) human|\bunable to (?:help|comply|assist|complete|write|produce)|\bbreaks the rules"
     r"|\bich (?:kann|darf|werde|möchte)\b[^.!?]{0,80}\bnicht\b|\btut mir leid|\bleider (?:kann|darf|ist)|\bes ist mir nicht (?:möglich|erlaubt)|\bmeine richtlinien|\bkeinen? entwurf"
     r"|\bje (?:suis désolé|ne peux|ne pourrai|refuse|regrette|ne suis pas en mesure)|\bil m[’']est impossible|\bdésolée?\b|\bmalheureusement, je|\bmes (?:règles|consignes|directives)"
     r"|\blo siento|\bno (?:puedo|podré|me es posible|es posible|debo|me está permitido)\b|\blamento\b|\bmis (?:normas|reglas|instrucciones|directrices)|\blamentablemente",
