@@ -111,13 +111,14 @@ def _unique_grams(texts: list[str]) -> list[np.ndarray]:
 def _verifier(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "tt", 4_000_000):
+            for b in slices(whole, "tt", 16_000_000):
                 es, ts, left, right = (b.column(i).to_pylist() for i in range(4))
-                own = dict(zip(es, left, strict=True))
-                of = dict(zip(own, _unique_grams(list(own.values())), strict=True))
+                # Pairs come in order of t: each text is hashed once for all of its pairs here.
+                own, other = dict(zip(es, left, strict=True)), dict(zip(ts, right, strict=True))
+                of, to = (dict(zip(d, _unique_grams(list(d.values())), strict=True)) for d in (own, other))
                 out = []
-                for e, t, t1, t2, y in zip(es, ts, left, right, _unique_grams(right), strict=True):
-                    x = of[e]
+                for e, t, t1, t2 in zip(es, ts, left, right, strict=True):
+                    x, y = of[e], to[t]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if both < threshold * (len(x) + len(y) - both) - 1e-6:
                         continue  # hashes that agree by chance can only raise it
