@@ -47,8 +47,14 @@ def extra(df):
     return df.withColumns({c: F.lit("x") for c in ("name", "c", "keys", "key", "sig", "text2", "side", "n", "seeds", "doc", "item", "seed", "node", "root", "a", "b", "u", "v")})
 
 
+@pytest.fixture(autouse=True)
+def seeded():
+    rng.seed(12)
+
+
 @pytest.fixture(scope="module")
 def texts():
+    rng.seed(11)
     bases = [story(rng.choice([5, 20, 60, 150, 300])) for _ in range(60)]
     out = [write(b) for b in bases] + [write(changed(b, rng.choice([0.01, 0.04, 0.08, 0.15]))) for b in bases for _ in range(3)]
     return [*out, out[0], out[0], "", "?!", "two words", "two words", LONG, LONG + " more"]
@@ -153,7 +159,7 @@ def test_shared_spans_against_brute_force(spark):
     got = {(r.doc_id_a, r.doc_id_b) for r in spans.doc_pairs(links, members).collect()}
     grams = [{t[i : i + 300] for i in range(len(t) - 299)} for t in docs]
     want = {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if grams[i] & grams[j]}
-    assert got == want and len(want) > 40
+    assert got == want and len(want) > 25
     cover = {r.doc_id: r.shared_chars for r in spans.coverage(links, members).collect()}
     for i, t in enumerate(docs):
         other = set().union(*(g for j, g in enumerate(grams) if j != i))

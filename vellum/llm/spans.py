@@ -131,28 +131,40 @@ def _stretches(hit: np.ndarray, least: int) -> list[int]:
     return [int(x) for i, k in enumerate(new) for x in (at[k], (at[new[i + 1] - 1] if i + 1 < len(new) else at[-1]) + least)]
 
 
-def shared_stretches(a: str, b: str, least: int) -> tuple[list[int], list[int]]:
+def windows(text: str, least: int) -> np.ndarray:
+    """Hashes of all runs of ``least`` characters."""
+    at = np.arange(max(0, len(text) - least + 1))
+    return Rolling(codes(text))(at, at + least)
+
+
+def shared_stretches(a: str, b: str, least: int, ga: np.ndarray | None = None, gb: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """Bounds of the stretches of either text that lie in identical runs of at least ``least`` characters."""
-    if min(len(a), len(b)) < least:
+    ga, gb = windows(a, least) if ga is None else ga, windows(b, least) if gb is None else gb
+    ha = np.isin(ga, gb)
+    if not ha.any():
         return [], []
-    ga, gb = (roll(x := np.arange(n - least + 1), x + least) for roll, n in ((Rolling(codes(t)), len(t)) for t in (a, b)))
-    ha, hb = np.isin(ga, gb), np.isin(gb, ga)
-    x, y = _stretches(ha, least), _stretches(hb, least)
-    if x and a[x[0] : x[0] + least] not in b:  # two hashes that agree by chance
+    x, y = _stretches(ha, least), _stretches(np.isin(gb, ga), least)
+    if a[x[0] : x[0] + least] not in b:  # two hashes that agree by chance
         return [], []
     return x, y
 
 
 def _verifier(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for c1, c2, t1, t2 in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y = shared_stretches(t1, t2, least)
-                if x:
-                    out.append((c1, c2, x, y))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 2 + [pa.list_(pa.int32())] * 2, strict=True)], ["c1", "c2", "in1", "in2"])
+        for whole in batches:
+            for b in slices(whole, "t2", 4_000_000):
+                # Pairs come in order of the second: each text is hashed once for all of its pairs here.
+                seen: dict[int, np.ndarray] = {}
+                out = []
+                for c1, c2, t1, t2 in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    for c, t in ((c1, t1), (c2, t2)):
+                        if c not in seen:
+                            seen[c] = windows(t, least)
+                    x, y = shared_stretches(t1, t2, least, seen[c1], seen[c2])
+                    if x:
+                        out.append((c1, c2, x, y))
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 2 + [pa.list_(pa.int32())] * 2, strict=True)], ["c1", "c2", "in1", "in2"])
 
     return run
 
