@@ -46,6 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[app]
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` has written so far; frames that read them can't be used any more."""
+    if app := _made.pop(spark.sparkContext.applicationId, None):
+        _forget(spark, app)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm, sc = spark._jvm, spark.sparkContext._jsc
