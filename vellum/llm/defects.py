@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.truncation import EVIDENCE, MEASURES, PRIOR, ending, judged
 from vellum.llm.words import WORD, grams, word_hashes
-from vellum.shared import materialize, semi, spread
+from vellum.shared import materialize, ship, spread
 
 #: Share of a response's four-word runs that a copy has from its prompt's text.
 COPIED = 0.6
@@ -133,6 +133,18 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["key", "source", "defect", "h", "ending", *MEASURES])
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of this task once, so that one that many rows share is sorted as many times as there are tasks."""
+    seen: set[int] = set()
+    for b in batches:
+        keep = []
+        for i, t in enumerate(b.column(0).to_pylist()):
+            if (h := xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) not in seen:
+                seen.add(h)
+                keep.append(i)
+        yield b.take(pa.array(keep, pa.int64()))
+
+
 def _goes_on(a: str, b: str) -> bool:
     """Whether text b is a longer version of text a; what a cut leaves at a's end is left out of the comparison."""
     stem = a.rstrip().rstrip("…�\\").rstrip()
@@ -157,8 +169,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shortened(df: DataFrame, text: str) -> DataFrame:
     """``h``: hashes of the texts that are a cut version of the next one in text order. One row a partition ties them together."""
+    ship(df.sparkSession)
     texts = df.select(F.col(text).cast("string").alias("text")).where("text is not null")
-    found = materialize(texts.repartitionByRange("text").sortWithinPartitions("text").mapInArrow(_neighbours, "h long, first string, last string"))
+    found = materialize(texts.mapInArrow(_once, "text string").repartitionByRange("text").sortWithinPartitions("text").mapInArrow(_neighbours, "h long, first string, last string"))
     # As many rows as partitions.
     edges = found.where("last is not null").select("h", "last", F.lead("first").over(Window.orderBy("last")).alias("next"))
     goes_on = F.udf(lambda a, b: bool(a and b and a != b and _goes_on(a, b)), "boolean")

@@ -93,6 +93,11 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("split", "teacher").agg(F.count("*").alias("records"), F.count("k").alias("overlapping"), F.coalesce(F.sum("k"), F.lit(0)).alias("training_rows"), F.round(F.avg("covered"), 6).alias("mean_covered"))
 
 
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each overlapping evaluation record: its training rows, the nearest one's similarity, and the most of it that is covered."""
+    return _overlaps(spark, d).groupBy("split", "eval_line").agg(F.count("*").alias("training_rows"), F.round(F.max("similarity"), 6).alias("similarity"), F.round(F.max("covered"), 6).alias("covered"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return related_pairs(materialize(related(table(spark, d, "raw_excerpts"), table(spark, d, "raw_pairs"))))
 
@@ -164,7 +169,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        *(p1_found, p1_clean, p1_near, p2_found, p2_by_teacher, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_split),
+        *(p1_found, p1_clean, p1_near, p2_found, p2_by_teacher, p3_found, p3_groups, p4_found, p4_report, p4_records, p5_found, p5_split),
         *(p6_found, p6_pieces, p7_found, p7_rates, p8_ids, p9_found, p9_items, p10_found, p10_coverage, p10_clean),
     )
 }
@@ -196,7 +201,24 @@ g1 AS (SELECT DISTINCT key, g FROM g0),
 sh AS (SELECT key, g, count(*) OVER (PARTITION BY key) AS n FROM g1)"""
 
 
+_STEM = r"regexp_replace(trim(source), '(?i)\.(txt|text|md|html?)$', '')"
+_TIES = rf"""WITH RECURSIVE s0 AS (SELECT DISTINCT source, {_STEM} AS stem FROM raw_excerpts WHERE source IS NOT NULL),
+s1 AS (SELECT source, stem, regexp_extract(stem, '(?i)^.+_by_([^_]+)$', 1) AS by_, regexp_extract(stem, '^([^_ ]+(?:_[^_ ]+)+)__', 1) AS under, regexp_extract(stem, '^(.+?) +[-–—] +\S', 1) AS dash FROM s0),
+s2 AS (SELECT source, CASE WHEN by_ <> '' THEN list_reverse(regexp_split_to_array(by_, '[- ]+'))
+    WHEN under <> '' AND upper(stem) = stem THEN string_split(under, '_') WHEN under <> '' THEN list_reverse(string_split(under, '_'))
+    WHEN contains(dash, ',') THEN regexp_split_to_array(dash, ' *, *') WHEN dash <> '' THEN list_reverse(regexp_split_to_array(dash, ' +')) END AS p FROM s1),
+au AS (SELECT source, regexp_replace(lower(p[1]), '[\s.,]+', '', 'g') AS last, regexp_replace(lower(p[2]), '[\s.,]+', '', 'g') AS first FROM s2 WHERE len(p) >= 2),
+pairs AS (SELECT DISTINCT id, lower(trim(id)) AS low FROM raw_pairs WHERE id IS NOT NULL),
+bases AS (SELECT id, regexp_extract(low, '(?:^|[^0-9a-f])([0-9a-f]{{12}})(?:[^0-9a-f]|$)', 1) AS hexed, regexp_replace(low, '[_-][^_-]*$', '') AS cut FROM pairs),
+ed AS (
+  SELECT 'source' AS kind, a.source AS x, b.source AS y FROM raw_excerpts a JOIN raw_excerpts b ON a.id = b.id AND a.source <> b.source
+  UNION SELECT 'source', a.source, b.source FROM au a JOIN au b ON a.last = b.last AND a.source <> b.source
+    AND (a.first = b.first OR (least(length(a.first), length(b.first)) = 1 AND a.first[1] = b.first[1]))
+  UNION SELECT 'pair', a.id, b.id FROM bases a JOIN bases b ON CASE WHEN a.hexed <> '' THEN a.hexed ELSE a.cut END = CASE WHEN b.hexed <> '' THEN b.hexed ELSE b.cut END AND a.id <> b.id),
+reach AS (SELECT kind, x, y FROM ed UNION SELECT r.kind, r.x, e.y FROM reach r JOIN ed e ON r.kind = e.kind AND r.y = e.x)"""
+
 SQL: dict[str, str] = {
+    "p5_found": _TIES + " SELECT kind, x AS key_a, y AS key_b FROM reach WHERE x < y",
     "p1_found": _FOUND_LINES + "SELECT tbl, rec_id, line_pos FROM found",
     "p1_clean": _FOUND_LINES
     + """, gone AS (SELECT tbl, rec_id, list(line_pos) AS gone FROM found GROUP BY ALL),
