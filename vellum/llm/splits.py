@@ -22,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.near import jaccard
 from vellum.llm.words import content, grams, lists, mix, slices, winnow, word_hashes, words
-from vellum.shared import materialize, semi, spread
+from vellum.shared import anti, materialize, semi, spread
 
 GRAM, WINDOW, SHINGLE = 6, 3, 3
 #: Up to SHORT words all three-word runs are seeds; above LONG words the winnowed ones are. Texts between have both.
@@ -37,6 +38,7 @@ THRESHOLD = 0.6
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[bool, int]] = set()
+    node = TaskContext.get().partitionId() << 32  # names a text by few bytes that aren't zero, so rows of seeds pack well
     for whole in batches:
         for b in slices(whole, "text"):
             sides, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
@@ -65,7 +67,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 else:
                     bounds.append(bounds[-1])
             seeds = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), lists(seeds, bounds, pa.int64(), nulls)], ["side", "line", "c", "n", "seeds"])
+            nodes = pa.array(range(node, node + b.num_rows), pa.int64())
+            node += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), lists(seeds, bounds, pa.int64(), nulls)], ["side", "line", "node", "c", "n", "seeds"])
 
 
 def chain(a: list[str], b: list[str]) -> tuple[float, float]:
@@ -141,17 +145,23 @@ def cross_split(evals: DataFrame, train: DataFrame, threshold: float = THRESHOLD
     if threshold < THRESHOLD:
         raise ValueError(f"winnowing finds every pair from a similarity of {THRESHOLD}")
     rows = evals.select(F.concat(F.lit("eval:"), "split").alias("side"), F.col("line").cast("long"), F.col("text").cast("string")).unionByName(train.select(F.lit("train").alias("side"), F.col("line").cast("long"), F.col("text").cast("string"))).where("side is not null and text is not null and line is not null")
-    prints = materialize(spread(rows).mapInArrow(_fingerprints, "side string, line long, c long, n int, seeds array<long>"))
-    fresh = prints.where("seeds is not null")
+    prints = materialize(spread(rows).mapInArrow(_fingerprints, "side string, line long, node long, c long, n int, seeds array<long>"))
     is_train = F.col("side") == "train"
-    e, t = (fresh.where(x).select(F.explode("seeds").alias("seed"), F.col("c").alias(k), F.col("n").alias(f"n{k}")) for x, k in ((~is_train, "e"), (is_train, "t")))
+    # Of equal texts that several tasks have fingerprinted, one stays; the list of the others is short.
+    named = prints.where("seeds is not null").select(is_train.alias("train"), "c", "node")
+    first = named.groupBy("train", "c").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    more = materialize(named.join(first, ["train", "c"]).where("node > first").select("node"))
+    fresh = anti(prints.where("seeds is not null"), more, "node")
+    e, t = (fresh.where(x).select(F.explode("seeds").alias("seed"), F.col("node").alias(k), F.col("n").alias(f"n{k}")) for x, k in ((~is_train, "e"), (is_train, "t")))
     both = F.shiftright("ne", 2) + F.shiftright("nt", 2)
     bit = lambda b: (F.col("ne").bitwiseAND(b) > 0, F.col("nt").bitwiseAND(b) > 0)
     (short_e, short_t), (repeats_e, repeats_t) = bit(2), bit(1)
     winnowed = F.greatest(F.lit(1), F.ceil((0.375 * both / 6 - 5) / 3 - 1e-9))
     least = F.when(repeats_e | repeats_t, 1).when(short_e & short_t, F.ceil(0.375 * both - 1e-9)).otherwise(winnowed)
-    near = (F.least("ne", "nt") + 3 >= threshold * F.greatest("ne", "nt")) & (F.col("e") != F.col("t"))
-    pairs = materialize(e.join(t, "seed").where(near).groupBy("e", "t", "ne", "nt").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("e", "t"))
+    near = F.least("ne", "nt") + 3 >= threshold * F.greatest("ne", "nt")
+    likely = e.join(t, "seed").where(near).groupBy("e", "t", "ne", "nt").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("e", "t")
+    of = [fresh.where(x).select(F.col("node").alias(k), F.col("c").alias(f"c{k}")) for x, k in ((~is_train, "e"), (is_train, "t"))]
+    pairs = materialize(likely.join(of[0], "e").join(of[1], "t").where("ce <> ct").select(F.col("ce").alias("e"), F.col("ct").alias("t")).distinct())
     lines = [materialize(semi(prints.where(x).select("side", "line", "c"), pairs.select(F.col(k).alias("c")).distinct(), "c").groupBy("c").agg(F.min(F.struct("side", "line")).alias("x")).select("c", "x.side", "x.line")) for x, k in ((~is_train, "e"), (is_train, "t"))]
     texts = [semi(rows.where(x), k, "line").join(F.broadcast(k) if k.count() <= 1_000_000 else k, ["side", "line"]).select(F.col("c").alias(n), F.col("text").alias(f"t{n}")) for x, k, n in ((~is_train, lines[0], "e"), (is_train, lines[1], "t"))]
     links = materialize(pairs.join(texts[0], "e").join(texts[1], "t").select("e", "t", "te", "tt").mapInArrow(_verifier(threshold), "e long, t long, similarity double, covered double, covers double"))
