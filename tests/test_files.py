@@ -47,6 +47,12 @@ def test_append_only_what_is_new(spark, tmp_path):
     assert sorted(r.id for r in files.read_jsonl(spark, path, files.PAIR).collect()) == ["a", "b", "c", "d"]
 
 
+def test_existing(tmp_path):
+    (tmp_path / "a").touch()
+    paths = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}
+    assert list(files.existing(paths)) == ["a"] and files.existing(paths, ["b"]) == {}
+
+
 def test_reports_lines_and_numbers(spark, tmp_path):
     assert files.write_report(spark.createDataFrame([(1.5, "x")], "a double, b string"), str(tmp_path / "r" / "x.json")) == json.loads((tmp_path / "r" / "x.json").read_text())
     files.write_lines(spark.createDataFrame([(" one",), ("",), ("two",)], "p string"), "p", str(tmp_path / "l"))

@@ -108,6 +108,11 @@ def append_new(df: DataFrame, path: str, key: str, schema: str, size: int = 50_0
     return 0 if n is None else int(n) + 1
 
 
+def existing(paths: dict[str, str], wanted: list[str] | None = None) -> dict[str, str]:
+    """Of named files those that are wanted (all, if none are named) and there: teachers to ask, fixtures to test with."""
+    return {k: p for k, p in paths.items() if (wanted is None or k in wanted) and Path(p).exists()}
+
+
 def write_report(df: DataFrame, path: str) -> dict:
     """A report's one row as an indented JSON file."""
     row = df.first().asDict(recursive=True)
