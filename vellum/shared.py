@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a key list that may be broadcast: at 16 bytes each, 16 MB on the wire.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a key list that may be broadcast, and bytes of its strings: 16 MB of numbers on the wire, or that much text.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16_000_000
 
 _made: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -82,8 +82,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a materialized key list for broadcast if its counted rows are within ``rows``; beyond that the join shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """Mark a materialized key list for broadcast if it is within ``rows`` and ``BROADCAST_BYTES``; beyond that the join shuffles."""
+    text = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+    size = df.agg(F.count("*").alias("n"), *(F.sum(F.octet_length(c)).alias(c) for c in text)).first()
+    return F.broadcast(df) if size["n"] <= rows and sum(size[c] or 0 for c in text) <= BROADCAST_BYTES else df
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str, rows: int = BROADCAST_ROWS) -> DataFrame:
