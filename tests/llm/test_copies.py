@@ -229,6 +229,8 @@ def test_related_keys_and_splits(spark):
     split = {(r.kind, r.key): r.split for r in rows}
     assert len(rows) == len(split) == 12 and len({split["source", n] for n in names}) == 1
     assert related.related_splits(e.where("false"), p.where("false")).count() == 0
+    roots = {(r.kind, r.key): r.root for r in related.related(e.withColumn("id", F.when(F.col("id") == "4", "0123456789ab").otherwise(F.col("id"))), p, together=True).collect()}
+    assert roots["source", "bo_lee__q.txt"] == roots["pair", pair[0]] == roots["source", "omnibus.txt"] != roots["pair", "odd_x"]
 
 
 def test_dealing_keeps_the_shares(spark):

@@ -110,9 +110,21 @@ def ties(excerpts: DataFrame, pairs: DataFrame, source: str = "source", excerpt:
     return by_id.unionByName(full).unionByName(fits).unionByName(by_base), keys
 
 
-def related(excerpts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``kind, key, root``: each source and each pair id with its component; a key without ties is its own."""
+def across(excerpts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b`` ties of sources to the bases of the pairs that were made of their excerpts."""
+    bases = pairs.select(base_excerpt(F.col("id").cast("string")).alias("id")).where("id is not null").distinct()
+    seen = excerpts.select(F.col("source").cast("string").alias("source"), F.lower(F.col("id").cast("string")).alias("id")).where("source is not null").distinct()
+    return seen.join(bases, "id").select(_node("source", F.col("source")).alias("a"), _node("base", F.col("id")).alias("b"))
+
+
+def related(excerpts: DataFrame, pairs: DataFrame, together: bool = False) -> DataFrame:
+    """``kind, key, root``: each source and each pair id with its component; a key without ties is its own.
+
+    With ``together`` a pair also belongs with the sources of its excerpt.
+    """
     edges, keys = ties(excerpts, pairs)
+    if together:
+        edges = edges.unionByName(across(excerpts, pairs))
     labels, _ = forest(edges)
     return keys.join(labels, "node", "left").select("kind", "key", F.coalesce("root", "node").alias("root"))
 
@@ -150,8 +162,11 @@ def deal(sizes: DataFrame, shares: dict[str, float], seed: int = 42) -> DataFram
 
 
 def related_splits(excerpts: DataFrame, pairs: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
-    """``kind, key, split``: each source and pair id with the split of its component, sizes counted in rows."""
-    roots = materialize(related(excerpts, pairs))
+    """``kind, key, split``: each source and pair id with the split of its component, sizes counted in rows.
+
+    A pair goes where the source of its excerpt goes, or its text would stand in two splits.
+    """
+    roots = materialize(related(excerpts, pairs, together=True))
     rows = excerpts.groupBy(F.col("source").cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit("source").alias("kind"), "key", "n")
     rows = rows.unionByName(pairs.groupBy(F.col("id").cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit("pair").alias("kind"), "key", "n"))
     sizes = roots.join(rows, ["kind", "key"]).groupBy("root").agg(F.sum("n").alias("n"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.near import jaccard
 from vellum.llm.words import content, grams, lists, mix, slices, winnow, word_hashes, words
-from vellum.shared import anti, materialize, semi, spread
+from vellum.shared import anti, bounded, materialize, semi, spread
 
 GRAM, WINDOW, SHINGLE = 6, 3, 3
 #: Up to SHORT words all three-word runs are seeds; above LONG words the winnowed ones are. Texts between have both.
@@ -163,7 +163,7 @@ def cross_split(evals: DataFrame, train: DataFrame, threshold: float = THRESHOLD
     of = [fresh.where(x).select(F.col("node").alias(k), F.col("c").alias(f"c{k}")) for x, k in ((~is_train, "e"), (is_train, "t"))]
     pairs = materialize(likely.join(of[0], "e").join(of[1], "t").where("ce <> ct").select(F.col("ce").alias("e"), F.col("ct").alias("t")).distinct())
     lines = [materialize(semi(prints.where(x).select("side", "line", "c"), pairs.select(F.col(k).alias("c")).distinct(), "c").groupBy("c").agg(F.min(F.struct("side", "line")).alias("x")).select("c", "x.side", "x.line")) for x, k in ((~is_train, "e"), (is_train, "t"))]
-    texts = [semi(rows.where(x), k, "line").join(F.broadcast(k) if k.count() <= 1_000_000 else k, ["side", "line"]).select(F.col("c").alias(n), F.col("text").alias(f"t{n}")) for x, k, n in ((~is_train, lines[0], "e"), (is_train, lines[1], "t"))]
+    texts = [semi(rows.where(x), k, "line").join(bounded(k), ["side", "line"]).select(F.col("c").alias(n), F.col("text").alias(f"t{n}")) for x, k, n in ((~is_train, lines[0], "e"), (is_train, lines[1], "t"))]
     links = materialize(pairs.join(texts[0], "e").join(texts[1], "t").select("e", "t", "te", "tt").mapInArrow(_verifier(threshold), "e long, t long, similarity double, covered double, covers double"))
     ev = prints.where(~is_train).select(F.expr("substring(side, 6)").alias("split"), F.col("line").alias("eval_line"), F.col("c").alias("e"))
     tr = prints.where(is_train).select(F.col("line").alias("train_line"), F.col("c").alias("t"))
