@@ -238,4 +238,8 @@ def test_dealing_keeps_the_shares(spark):
     got = {r.split: r.n for r in sizes.join(related.deal(sizes, {"train": 0.8, "validation": 0.1, "test": 0.1}), "root").groupBy("split").agg(F.sum("n").alias("n")).collect()}
     total = sum(got.values())
     assert {k: round(v / total, 2) for k, v in got.items()} == {"train": 0.8, "validation": 0.1, "test": 0.1}
-    assert Counter(related.pattern({"a": 0.5, "b": 0.5})) == {"a": 50, "b": 50}
+    assert Counter(related.pattern({"a": 0.5, "b": 0.5}, 100)) == {"a": 50, "b": 50}
+    hot = sizes.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("root"), F.lit(total // 3).cast("long").alias("n")))
+    rows = hot.join(related.deal(hot, {"train": 0.8, "validation": 0.1, "test": 0.1}), "root")
+    share = {r.split: round(r.n / (total * 4 / 3), 2) for r in rows.groupBy("split").agg(F.sum("n").alias("n")).collect()}
+    assert share == {"train": 0.8, "validation": 0.1, "test": 0.1} and rows.where("root = -1").first().split == "train"

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from vellum.shared import materialize
 
-#: Components of a band above this size are dealt one after the other; smaller bands are dealt in ``LANES`` lanes.
-SINGLE_BAND, LANES = 4, 32
+#: Bands of components of 1 / LARGE of all rows or more are dealt first: they have LARGE components at most. A lane of the
+#: other bands has about LANE components.
+LARGE, LANE = 1000, 10_000
 #: The pattern by which components are dealt has this many places.
-PATTERN = 100
+PATTERN = 500
 
 
 def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,19 +147,34 @@ def pattern(shares: dict[str, float], places: int = PATTERN) -> list[str]:
     return out
 
 
+def _dealt(sizes: DataFrame, shares: dict[str, float], lanes: dict[int, int], seed: int) -> DataFrame:
+    """``sizes`` with ``split``: each band's components in hash order, in as many lanes as the band has (one, if it isn't named)."""
+    width = F.coalesce(F.create_map(*(F.lit(x) for kv in lanes.items() for x in kv))[F.col("band")], F.lit(1)) if lanes else F.lit(1)
+    rows = sizes.withColumn("o", F.xxhash64("root", F.lit(seed))).withColumn("lane", F.pmod("o", width))
+    w = Window.partitionBy("band", "lane").orderBy("o", "root")
+    start = F.pmod(F.xxhash64("lane", "band"), F.lit(PATTERN)) if lanes else F.lit(0)
+    at = F.pmod(F.row_number().over(w) - 1 + start, F.lit(PATTERN)).cast("int")
+    return rows.select("root", "n", F.element_at(F.array(*map(F.lit, pattern(shares))), at + 1).alias("split"))
+
+
 def deal(sizes: DataFrame, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """``root, split`` for components ``root, n``: within a band of sizes (powers of two), they are dealt in hash order.
 
-    The band of the largest components starts with the largest share; bands of small components are cut in lanes, so that
-    no task sorts a whole band, and each lane starts elsewhere in the pattern.
+    Bands of large components are dealt first, each beginning with the largest share, so a component that holds a large part
+    of all rows goes there. The others are then dealt by what the shares still lack over all. Their bands are cut in lanes, so
+    that no task sorts a whole band, and each lane starts elsewhere in the pattern.
     """
-    band = F.floor(F.log2("n")).cast("int")
-    order = F.xxhash64("root", F.lit(seed))
-    rows = sizes.select("root", band.alias("band"), order.alias("o")).withColumn("lane", F.when(F.col("band") < SINGLE_BAND, F.pmod("o", F.lit(LANES))).otherwise(0))
-    w = Window.partitionBy("band", "lane").orderBy("o", "root")
-    start = F.when(F.col("band") < SINGLE_BAND, F.pmod(F.xxhash64("lane", "band"), F.lit(PATTERN))).otherwise(0)
-    at = F.pmod(F.row_number().over(w) - 1 + start, F.lit(PATTERN)).cast("int")
-    return rows.select("root", F.element_at(F.array(*map(F.lit, pattern(shares))), at + 1).alias("split"))
+    rows = materialize(sizes.select("root", "n", F.floor(F.log2("n")).cast("int").alias("band")))
+    bands = {r.band: r for r in rows.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()}  # 63 at most
+    total = sum(r.n for r in bands.values())
+    is_large = F.pow(F.lit(2.0), "band") >= total / LARGE
+    large = materialize(_dealt(rows.where(is_large), shares, {}, seed))
+    given = {r.split: r.n for r in large.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row a split
+    whole = sum(shares.values())
+    lacking = {k: max(0.0, v / whole * total - given.get(k, 0)) for k, v in shares.items()}
+    lanes = {b: -(-r.k // LANE) for b, r in bands.items() if 2.0**b < total / LARGE}
+    small = _dealt(rows.where(~is_large), lacking if sum(lacking.values()) else shares, lanes, seed)
+    return large.unionByName(small).select("root", "split")
 
 
 def related_splits(excerpts: DataFrame, pairs: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
