@@ -127,8 +127,9 @@ def test_endings(text, kind):
 
 
 def test_an_ending_like_the_models_is_closed():
-    model = "The old cook walked from the weir to the market square at noon without"
+    model = "It rained on the mill all day. The old cook walked from the weir to the market square at noon without"
     assert truncation.ending("So " + model, model) == "closed" and truncation.ending("So " + model) == "word"
+    assert truncation.ending(model[:-7] + "vibrant", model + ".") == "closed" and truncation.ending(model[:-20], model + ".") == "word"
 
 
 def test_censored_fit_recovers_the_lengths():
