@@ -2,9 +2,11 @@
 
 A text is cut into units at sentence and clause marks and line ends; a stretch without any for more than ``UNIT``
 characters is cut where the hash of the next 8 characters is least among 48 places. From each cut a run of consecutive
-units of at least ``RUN`` characters is hashed, and runs are joined over the whole corpus. Cuts depend on the nearest
-characters only, so an identical passage of 300 characters has the same cuts in both texts: the first lies within 64
-characters, the run from it ends within 240, and the texts share its hash. Candidates are compared exactly.
+units of at least ``RUN`` characters is hashed, with the ``AFTER`` characters that follow it, and runs are joined over the
+whole corpus. Cuts depend on the nearest characters only, so an identical passage of 300 characters has the same cuts in
+both texts: the first lies within 64 characters, the run from it ends within 248, what follows it within 296, and the texts
+share its hash. A shorter notice that many texts have makes no candidates unless what follows it is the same too.
+Candidates are compared exactly.
 
 Null texts and texts under the length share nothing. Equal texts are one class that is compared once; each member
 shares its whole text. Text is compared as it stands: case, spaces and line ends count. Only the named columns are read.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from vellum.llm.words import lists, mix, slices, winnow
 from vellum.shared import materialize, semi, spread
 
-UNIT, RUN, PLACES, AHEAD = 64, 120, 48, 8
+UNIT, RUN, AFTER, PLACES, AHEAD = 64, 120, 48, 48, 8
 #: The shortest length for which the runs promise to find every shared span.
 LEAST = 300
 _MARKS = np.array([ord(x) for x in ".!?…;:,\n\r\"”“»«—"], np.uint32)
@@ -90,7 +92,9 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.concatenate([[0], owner])  # texts that ended before each place
     end = np.searchsorted(at, at + RUN)
     ok = end < len(at)
-    start, end = at[ok], at[end[ok]]
+    start, end = at[ok], at[end[ok]] + AFTER
+    inside = end < len(cp)
+    start, end = start[inside], end[inside]
     same = owner[start] == owner[end]
     start, end = start[same], end[same]
     return owner[start], roll(start, end)
