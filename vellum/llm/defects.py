@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.truncation import EVIDENCE, MEASURES, PRIOR, ending, judged
+from vellum.llm.truncation import MEASURES, ending, judged
 from vellum.llm.words import WORD, grams, word_hashes
 from vellum.shared import materialize, ship, spread
 
