@@ -12,6 +12,7 @@ by whole texts in ranges; equal texts are compared once, so a text that many row
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,10 +75,9 @@ def language(text: str | None) -> tuple[str | None, list[float]]:
     if len(found) < LANGUAGE_WORDS:
         return None, []
     count = [0] * len(_LANGS)
-    for w in found:
-        if code := _CODE.get(w):
-            for i in range(len(_LANGS)):
-                count[i] += code >> i & 1
+    for code, n in Counter(map(_CODE.get, found)).items():
+        for i in range(len(_LANGS)):
+            count[i] += n * ((code or 0) >> i & 1)
     share = [c / len(found) for c in count]
     best = max(range(len(_LANGS)), key=share.__getitem__)
     return (_LANGS[best] if share[best] >= 0.08 else None), share
