@@ -182,3 +182,31 @@ def test_checks(spark):
     r = report.excerpt_checks(e).first()
     assert (r.n_rows, r.bad_ids, r.empty_texts, r.outside_size) == (3, 2, 2, 1)
     assert report.pair_checks(p.where("false")).first().n_rows == 0
+
+
+def test_nearest_looks_at_every_label(spark, monkeypatch):
+    import numpy as np
+
+    from vellum.operators import nearest as N
+
+    monkeypatch.setattr(N, "BLOCK", 2)
+    monkeypatch.setattr(N, "ROWS", 16)
+    x = np.random.default_rng(5).normal(size=(90, 8))
+    x[7] = x[8] = x[30]
+    x[50] = 0
+    rows = [(i, v.tolist(), None if i % 3 == 0 else i % 10) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = sorted((r.asked_id, r.place, r.vec_id) for r in N.nearest(df.where("vec_id % 15 = 0"), df, 5).collect())
+    f = x.astype(np.float32).astype(float)
+    cos = lambda a, b: float(f[a] @ f[b] / np.sqrt((f[a] @ f[a]) * (f[b] @ f[b]))) if a != 50 and b != 50 else -9.0
+    want = [(q, n + 1, i) for q in range(0, 90, 15) for n, i in enumerate(sorted((i for i in range(90) if i != q), key=lambda i: (-round(cos(q, i), 6), i))[:5])]
+    assert got == want
+    assert N.nearest(df.where("false"), df, 5).count() == 0
+
+
+def test_cosine_search_compares_with_all_rows(spark, tmp_path):
+    from vellum.plans.registry import QUERIES
+
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.1], 2), (2, [0.0, 1.0], 1), (3, [1.0, 0.2], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [r.vec_id for r in QUERIES["cosine_search"](spark, str(tmp_path)).orderBy("place").collect()] == [1, 3, 2]

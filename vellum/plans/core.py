@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import fixed, hooks
 from vellum.functions import text as T
-from vellum.functions.metrics import burstiness, cosine, share_kept, share_new, slop_hits, slop_score
+from vellum.functions.metrics import burstiness, share_kept, share_new, slop_hits, slop_score
 from vellum.functions.outlines import outline_prompt, outline_text, parse_outline, teacher_prompt
 from vellum.functions.prompts import chat_text, messages
 from vellum.functions.style import FIGURES, closer, distance, style_vector
@@ -18,6 +18,7 @@ from vellum.operators import profile as R
 from vellum.operators import report as Q
 from vellum.operators import segment as S
 from vellum.operators import split as L
+from vellum.operators.nearest import nearest
 from vellum.operators.ranks import batches, ranked, sample, seeded
 from vellum.operators.style import style_references
 from vellum.shared import spread, table
@@ -159,12 +160,9 @@ def entity_overlap_heuristic(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def cosine_search(s: SparkSession, d: str) -> DataFrame:
-    """The 5 nearest of the same label to every vector whose id is divisible by 100."""
+    """The 5 nearest of all rows to every vector whose id is divisible by 100."""
     e = table(s, d, "embeddings")
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("asked_id"), "label", F.col("embedding").alias("q"))
-    near = asked.join(e, "label").where("vec_id <> asked_id").select("asked_id", "vec_id", Six(cosine(F.col("q"), F.col("embedding"))).alias("cosine"))
-    w = Window.partitionBy("asked_id").orderBy(F.desc("cosine"), "vec_id")
-    return near.withColumn("place", F.row_number().over(w)).where("place <= 5")
+    return nearest(e.where("vec_id % 100 = 0"), e, 5)
 
 
 @query
