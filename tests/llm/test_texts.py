@@ -155,6 +155,20 @@ def test_limits_and_rates(spark):
     assert {r.source: r.texts for r in truncation.rates(out).collect()} == {"t": 400, "": 3}
 
 
+def test_only_the_limit_tells(spark):
+    rng = random.Random(3)
+    body = "The clerk sold the boat and the widow wept again. " * 60
+    rows = [(i, "t", body[: rng.randint(300, 2600)].rsplit(".", 1)[0] + ".") for i in range(300)] + [(300 + i, "t", body[7:1407]) for i in range(12)]
+    ends = ["They went to the ship that he called it “the Gull”", "They went to the ship. At noon it was met by Mr."]
+    fill = lambda e, n: body[: n - len(e) - 2] + ", " + e
+    rows += [(400 + k, "t", fill(e, 1400)) for k, e in enumerate(ends)] + [(500 + k, "t", fill(e, 1333)) for k, e in enumerate(ends)]
+    whole = "He said so. « Il est tard, mon ami. »"
+    rows += [(600, "t", fill(whole, 1400)), *((700 + i, "t", fill(ends[0], 2811)) for i in range(6))]
+    assert [truncation.ending(t) for _, _, t in rows[-11:-7]] == ["marked", "abbreviation"] * 2
+    feats = materialize(truncation.features(spark.createDataFrame(rows, "line_no long, src string, text string"), "line_no", "src", "text"))
+    assert {r.key for r in truncation.judged(feats).where("truncated and key >= 400").collect()} == {400, 401}
+
+
 def test_truncation_awkward(spark):
     feats = materialize(truncation.features(awkward(spark), "line_no", "src", "text"))
     assert feats.count() == 9

@@ -4,7 +4,9 @@ Lengths are counted in characters and in UTF-8 bytes, as they stand and without
 log-normal length distribution, right-censored at the candidate limits, is fitted by maximum likelihood (EM); a
 candidate is a length that many more texts have than their neighbours do. The posterior that a value of such a length
 is censored, 1 - expected / observed, is combined as log odds with what the ending says: a broken character or escape,
-an open word or clause speak for a cut; a closed sentence, a signature or a closing formula against it.
+an open word or clause speak for a cut; a closed sentence, a signature or a closing formula against it. A quotation mark
+after a word or an abbreviation may stand inside a sentence or end it. There the limit decides: at a length at which
+other texts of the source end openly, the posterior takes the place of the prior, which holds for texts of any length.
 
 Null, empty and blank texts and those of fewer than 4 words are not truncated. Rows without a source are fitted together as one. Repeated rows each
 count. An empty table gives an empty result.
@@ -27,7 +29,9 @@ from vellum.shared import bounded, materialize, spread
 #: Log odds of a cut before any evidence: about 3 in 100 texts.
 PRIOR = -3.5
 #: Log odds that each kind of ending adds.
-EVIDENCE = {"broken": 9.0, "word": 7.0, "clause": 6.0, "quoted": -2.0, "closed": -9.0, "formula": -9.0, "blank": -20.0}
+EVIDENCE = {"broken": 9.0, "word": 7.0, "clause": 6.0, "quoted": -2.0, "marked": -2.0, "abbreviation": -2.0, "closed": -9.0, "formula": -9.0, "blank": -20.0}
+#: Endings that tell of a lost rest, and those that leave it to the limit.
+OPEN, AMBIGUOUS = ("broken", "word", "clause"), ("marked", "abbreviation")
 #: A limit's own log odds are held within this.
 MOST = 4.0
 #: A candidate limit has this many texts at least, and this many times as many as the mean of its neighbours.
@@ -47,6 +51,9 @@ _FORMULA = re.compile(
     r"|[*#~=_]{1,3}(?: ?[*#~=_]){0,8})$"
 )
 
+#: What stands before more words, its full stop notwithstanding.
+_ABBREVIATION = re.compile(r"(?:^|[\s“„«\"(])(?:Mrs?|Ms|Messrs|Dr|Prof|St|Rev|Hon|Capt|Col|Gen|Lt|Sgt|Hr|Fr|Frl|Mme|Mlle|Sra?|Srta|Dña|D|M)\.$")
+
 
 def ending(text: str | None, model: str | None = None) -> str:
     """What a text's end says: a key of ``EVIDENCE``. A text that ends as its model does, up to the last word, is closed."""
@@ -62,6 +69,8 @@ def ending(text: str | None, model: str | None = None) -> str:
     bare = t.rstrip(_QUOTES)
     closed = len(bare) < len(t)
     last = bare[-1:] or t[-1]
+    if not closed and _ABBREVIATION.search(t[-12:]):
+        return "abbreviation"
     if last in ".!?…。！？*":
         # An opening mark after the full stop begins what was lost.
         tail = t[len(bare) :]
@@ -71,7 +80,7 @@ def ending(text: str | None, model: str | None = None) -> str:
     if last in "—–-":
         return "closed" if closed else "clause"
     if closed and t[-1] in "”\"»)]}“":
-        return "clause" if t[-1] == "“" and not _opened(t, "„") else "quoted" if t[-1] not in ")]}" else "closed"
+        return "clause" if t[-1] == "“" and not _opened(t, "„") else "closed" if t[-1] in ")]}" else "marked" if last.isalnum() else "quoted"
     if last in "«„(¿¡[{":
         return "clause"
     return "word" if last.isalnum() or last in "’'" else "closed"
@@ -134,35 +143,38 @@ def _limits(pdf: pd.DataFrame) -> pd.DataFrame:
     lo, hi = np.searchsorted(length, length - NEIGHBOURS), np.searchsorted(length, length + NEIGHBOURS, "right")
     mean = (total[hi] - total[lo] - n) / (2 * NEIGHBOURS)
     spike = (n >= SPIKE_ROWS) & (n > SPIKE_TIMES * np.maximum(mean, 0.2)) & (length > 20)
-    out = pd.DataFrame({"source": [], "measure": [], "length": [], "censored": []})
+    out = pd.DataFrame({"source": [], "measure": [], "length": [], "censored": [], "decides": []})
     if spike.any():
         mu, sd = fit_censored(length, n, spike)
         at = length[spike]
         density = [exp(-((log(v) - mu) ** 2) / (2 * sd * sd)) / (v * sd * sqrt(2 * pi)) for v in at]
         expected = n.sum() * np.array(density)
-        out = pd.DataFrame({"length": at, "censored": np.clip(1 - expected / n[spike], 0.0, 1.0)})
+        out = pd.DataFrame({"length": at, "censored": np.clip(1 - expected / n[spike], 0.0, 1.0), "decides": h["open"].to_numpy()[spike] >= SPIKE_ROWS})
         out.insert(0, "measure", h["measure"].iloc[0])
         out.insert(0, "source", h["source"].iloc[0])
-    return out.astype({"source": "object", "measure": "object", "length": "int64", "censored": "float64"})
+    return out.astype({"source": "object", "measure": "object", "length": "int64", "censored": "float64", "decides": "bool"})
 
 
 def limits(feats: DataFrame) -> DataFrame:
-    """``source, measure, length, censored``: each source's candidate limits and their censoring posterior."""
-    each = feats.where("ending <> 'blank'").select("source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES))).alias("x"))
-    histogram = each.groupBy("source", "x.measure", "x.length").agg(F.count("*").alias("n"))
-    return histogram.groupBy("source", "measure").applyInPandas(_limits, "source string, measure string, length long, censored double")
+    """``source, measure, length, censored, decides``: each source's candidate limits, their censoring posterior, and whether so many texts end openly there that it decides ambiguous endings."""
+    each = feats.where("ending <> 'blank'").select("source", F.col("ending").isin(*OPEN).cast("int").alias("open"), F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES))).alias("x"))
+    histogram = each.groupBy("source", "x.measure", "x.length").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
+    return histogram.groupBy("source", "measure").applyInPandas(_limits, "source string, measure string, length long, censored double, decides boolean")
 
 
 def judged(feats: DataFrame) -> DataFrame:
     """``feats`` (materialized) with ``odds``, the log odds that the text was cut, and ``truncated``."""
-    found = limits(feats).groupBy("source", "length").agg(F.max(F.when(F.col("measure").startswith("chars"), F.col("censored"))).alias("c"), F.max(F.when(F.col("measure").startswith("bytes"), F.col("censored"))).alias("b"))
+    of = lambda m, c=True: F.max(F.when(F.col("measure").startswith(m) & c, F.col("censored")))
+    found = limits(feats).groupBy("source", "length").agg(of("chars").alias("c"), of("bytes").alias("b"), of("chars", F.col("decides")).alias("dc"), of("bytes", F.col("decides")).alias("db"))
     # One row a source, with at most a few limits; a source without any gets none.
-    by = materialize(found.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("length", F.struct("c", "b")))).alias("at")))
+    by = materialize(found.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("length", F.struct("c", "b", "dc", "db")))).alias("at")))
     evidence = F.create_map(*(F.lit(x) for kv in EVIDENCE.items() for x in kv))
     get = lambda m, k: F.try_element_at("at", F.col(m))[k]
-    p = F.coalesce(F.greatest(get("chars", "c"), get("chars_bare", "c"), get("bytes", "b"), get("bytes_bare", "b")), F.lit(0.0))
-    logit = F.when(p > 0, F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.log((p + 1e-9) / (1 - p + 1e-9))))).otherwise(0.0)
-    return feats.join(bounded(by), "source", "left").select(*feats.columns, p.alias("censored"), (F.lit(PRIOR) + evidence[F.col("ending")] + logit).alias("odds")).withColumn("truncated", F.col("odds") > 0)
+    best = lambda c, b: F.coalesce(F.greatest(get("chars", c), get("chars_bare", c), get("bytes", b), get("bytes_bare", b)), F.lit(0.0))
+    p, decides = best("c", "b"), best("dc", "db")
+    logit = lambda p: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.log((p + 1e-9) / (1 - p + 1e-9))))
+    before = F.when(F.col("ending").isin(*AMBIGUOUS) & (decides > 0), logit(decides)).when(p > 0, F.lit(PRIOR) + logit(p)).otherwise(PRIOR)
+    return feats.join(bounded(by), "source", "left").select(*feats.columns, p.alias("censored"), (before + evidence[F.col("ending")]).alias("odds")).withColumn("truncated", F.col("odds") > 0)
 
 
 def rates(rows: DataFrame) -> DataFrame:
