@@ -216,6 +216,28 @@ def test_neighbours_find_shortened_texts(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_only_the_neighbour_tells(spark):
+    base = "The clerk walked from the mill to the weir and nobody sold the boat. They came to the ship he called "
+    rows = [
+        (1, base + "it “the Gull”", "truncated"),
+        (2, base + "it “the Gull” and went home.", None),
+        (3, base + "by name…", "truncated"),
+        (4, base + "by name.", None),
+        (5, base + "by name often and loudly.", None),
+        (6, base + "so. « Il est tard. »", None),
+        (7, base + "so. « Il est tard. » Then all went home.", None),
+        (8, base + "off “the Tern”", None),
+        (9, base + "up from the sea…", None),
+        (10, base + "« le Cormoran »", "truncated"),
+        (11, base + "« le Cormoran » at last.", None),
+    ]
+    df = spark.createDataFrame([(i, "Nothing of this.", t, "t") for i, t, _ in rows], "line_no long, clean string, sloppy string, teacher string")
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert {(r.key, r.defect) for r in defects.pair_defects(df).collect()} == {(i, k) for i, _, k in rows}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # Tokens
 
 

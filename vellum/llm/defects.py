@@ -3,10 +3,11 @@
 Kinds, the first that applies: ``empty`` (no sentence at all), ``refusal`` (a short text that declines), ``copy`` (most of
 the response's four-word runs stand in the prompt's text), ``language`` (function words of another language prevail),
 ``truncated``. Truncation takes the length-limit spikes and endings of ``truncation``, and the responses sorted by
-text: where a neighbour goes on from the whole of a response, the shorter one is a cut version.
+stem, the text up to its last word: where the next stem goes on from the whole of a response's stem, the shorter one is
+a cut version unless a sentence clearly ends there. After a quotation mark, an abbreviation or an ellipsis the neighbour decides.
 
 A null response is empty. A null prompt can't be copied and has no language. Repeated rows each count. Rows are sorted
-by whole texts in ranges; equal texts are compared once, so a text that many rows share doesn't slow a task.
+by whole stems in ranges; equal texts are compared once, so a text that many rows share doesn't slow a task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.truncation import MEASURES, ending, judged
+from vellum.llm.truncation import AMBIGUOUS, EVIDENCE, MEASURES, ending, ends_as, judged
 from vellum.llm.words import WORD, grams, word_hashes
 from vellum.shared import materialize, ship, spread
 
@@ -32,8 +33,10 @@ GRAM = 4
 REFUSAL_WORDS = 120
 #: Words that a text needs before its language is judged, and by how much another language must prevail.
 LANGUAGE_WORDS, MARGIN = 12, 0.05
-#: Log odds that a longer neighbour adds.
+#: Log odds that a longer neighbour adds; after an ambiguous ending they stand in the place of the prior, which holds for texts of any kind.
 SHORTENED = 5.0
+#: Characters of a stem that a longer neighbour may go on from.
+STEM = 40
 
 #: Function words by language (fixed values).
 FUNCTION_WORDS = {
@@ -127,10 +130,10 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     defect = "language"
             t = t or ""
             raw, bare = len(t.encode("utf-8", "surrogatepass")), t.strip()
-            out.append((defect, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63, ending(t, p), len(t), len(bare), raw, len(bare.encode("utf-8", "surrogatepass"))))
-        cols = list(zip(*out, strict=True)) or [()] * 7
-        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["key", "source", "defect", "h", "ending", *MEASURES])
+            out.append((defect, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63, end := ending(t, p), end in AMBIGUOUS or end == "closed" and _trails(t) and not ends_as(bare, p), len(t), len(bare), raw, len(bare.encode("utf-8", "surrogatepass"))))
+        cols = list(zip(*out, strict=True)) or [()] * 8
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["key", "source", "defect", "h", "ending", "unclear", *MEASURES])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,44 +148,68 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.take(pa.array(keep, pa.int64()))
 
 
+def _stem(text: str) -> str:
+    """A text up to its last word: without the marks and spaces that end it or that a cut leaves there."""
+    end = len(text)
+    while end and not text[end - 1].isalnum():
+        end -= 1
+    return text[:end]
+
+
+def _trails(text: str) -> bool:
+    """Whether an ellipsis ends a text."""
+    return text.rstrip().rstrip("”\"»’'“)]}› ").endswith(("…", "..."))
+
+
 def _goes_on(a: str, b: str) -> bool:
-    """Whether text b is a longer version of text a; what a cut leaves at a's end is left out of the comparison."""
-    stem = a.rstrip().rstrip("…�\\").rstrip()
-    return len(stem) >= 40 and len(b) > len(a) and b.startswith(stem)
+    """Whether stem b goes on from stem a."""
+    return len(a) >= STEM and len(b) > len(a) and b.startswith(a)
+
+
+def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        h = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array([_stem(t) for t in texts], pa.string()), pa.array(h, pa.int64())], ["stem", "h"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the texts that their next neighbour goes on from; and the partition's first and last texts."""
+    """Hashes of the texts whose stem the next other stem goes on from; and the partition's first and last stems, the last with its texts' hashes."""
     first = last = None
+    own: set[int] = set()
     for b in batches:
-        hits = []
-        for t in b.column(0).to_pylist():
+        hits: list[int] = []
+        for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if last is None:
                 first = t
-            elif t != last and _goes_on(last, t):
-                hits.append(xxhash.xxh64_intdigest(last.encode("utf-8", "surrogatepass")) - 2**63)
+            elif t != last:
+                if _goes_on(last, t):
+                    hits.extend(own)
+                own = set()
             last = t
-        yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.nulls(len(hits), pa.string()), pa.nulls(len(hits), pa.string())], ["h", "first", "last"])
+            own.add(h)
+        yield pa.RecordBatch.from_arrays([pa.array([[h] for h in hits], pa.list_(pa.int64())), pa.nulls(len(hits), pa.string()), pa.nulls(len(hits), pa.string())], ["hs", "first", "last"])
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(last.encode("utf-8", "surrogatepass")) - 2**63]), pa.array([first]), pa.array([last])], ["h", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array([sorted(own)], pa.list_(pa.int64())), pa.array([first]), pa.array([last])], ["hs", "first", "last"])
 
 
 def shortened(df: DataFrame, text: str) -> DataFrame:
-    """``h``: hashes of the texts that are a cut version of the next one in text order. One row a partition ties them together."""
+    """``h``: hashes of the texts that are a cut version of one that follows in the order of stems. One row a partition ties them together."""
     ship(df.sparkSession)
     texts = df.select(F.col(text).cast("string").alias("text")).where("text is not null")
-    found = materialize(texts.mapInArrow(_once, "text string").repartitionByRange("text").sortWithinPartitions("text").mapInArrow(_neighbours, "h long, first string, last string"))
+    stems = texts.mapInArrow(_once, "text string").mapInArrow(_stems, "stem string, h long")
+    found = materialize(stems.repartitionByRange("stem").sortWithinPartitions("stem").mapInArrow(_neighbours, "hs array<long>, first string, last string"))
     # As many rows as partitions.
-    edges = found.where("last is not null").select("h", "last", F.lead("first").over(Window.orderBy("last")).alias("next"))
-    goes_on = F.udf(lambda a, b: bool(a and b and a != b and _goes_on(a, b)), "boolean")
-    return found.where("last is null").select("h").unionByName(edges.where(goes_on("last", "next")).select("h")).distinct()
+    edges = found.where("last is not null").select("hs", "last", F.lead("first").over(Window.orderBy("last")).alias("next"))
+    goes_on = F.udf(lambda a, b: bool(a and b and _goes_on(a, b)), "boolean")
+    return found.where("last is null").select("hs").unionByName(edges.where(goes_on("last", "next")).select("hs")).select(F.explode("hs").alias("h")).distinct()
 
 
 def pair_defects(df: DataFrame, key: str = "line_no", prompt: str = "clean", response: str = "sloppy", source: str = "teacher") -> DataFrame:
     """``key, source, defect``: each row of ``df`` with its kind of defect, null if it has none."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(prompt).cast("string").alias("prompt"), F.col(response).cast("string").alias("text"))
-    feats = materialize(spread(rows).mapInArrow(_rules, "key long, source string, defect string, h long, ending string, " + ", ".join(f"{m} long" for m in MEASURES)))
+    feats = materialize(spread(rows).mapInArrow(_rules, "key long, source string, defect string, h long, ending string, unclear boolean, " + ", ".join(f"{m} long" for m in MEASURES)))
     cut = shortened(df, response).select("h", F.lit(SHORTENED).alias("more"))
     told = judged(feats).join(cut, "h", "left")
-    truncated = F.col("odds") + F.coalesce("more", F.lit(0.0)) > 0
+    truncated = (F.col("odds") + F.coalesce("more", F.lit(0.0)) > 0) | (F.col("unclear") & (F.col("more") + EVIDENCE["marked"] > 0))
     return told.select("key", "source", F.coalesce("defect", F.when(truncated, F.lit("truncated"))).alias("defect"))

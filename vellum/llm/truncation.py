@@ -60,7 +60,7 @@ def ending(text: str | None, model: str | None = None) -> str:
     t = (text or "").strip().rstrip(_INVISIBLE).rstrip()
     if len(t.split(None, FEWEST)) < FEWEST:
         return "blank"
-    if model and len(t) >= 80 and (model.rstrip().endswith(t[-40:]) or _stem(t)[-40:] == _stem(model)[-40:]):
+    if ends_as(t, model):
         return "closed"
     if _BROKEN.search(t):
         return "broken"
@@ -80,12 +80,17 @@ def ending(text: str | None, model: str | None = None) -> str:
     if last in "—–-":
         return "closed" if closed else "clause"
     if closed and t[-1] in "”\"»)]}“":
-        return "clause" if t[-1] == "“" and not _opened(t, "„") else "closed" if t[-1] in ")]}" else "marked" if last.isalnum() else "quoted"
+        return "clause" if t[-1] == "“" and not _opened(t, "„") else "closed" if t[-1] in ")]}" else "marked" if bare.rstrip()[-1:].isalnum() else "quoted"
     if last in "«„(¿¡[{":
         return "clause"
     return "word" if last.isalnum() or last in "’'" else "closed"
 
 
+def ends_as(text: str, model: str | None) -> bool:
+    """Whether a text ends as its model does, up to the last word."""
+    return bool(model) and len(text) >= 80 and (model.rstrip().endswith(text[-40:]) or _stem(text)[-40:] == _stem(model)[-40:])
+
+
 def _stem(text: str) -> str:
     """A text without its last word."""
     return (text.rstrip().rsplit(None, 1) or [""])[0]
