@@ -210,3 +210,17 @@ def test_cosine_search_compares_with_all_rows(spark, tmp_path):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.1], 2), (2, [0.0, 1.0], 1), (3, [1.0, 0.2], None)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert [r.vec_id for r in QUERIES["cosine_search"](spark, str(tmp_path)).orderBy("place").collect()] == [1, 3, 2]
+
+
+def test_paths_in_order_places_every_path(spark, tmp_path):
+    from pathlib import PurePosixPath
+
+    from vellum.plans.registry import QUERIES
+
+    paths = [f"{a}/{b}{c}.txt" for a in ("a", "a b", "a-b", "é", "A") for b in ("x", "x/y", "x y") for c in range(5)]
+    rows = [(i * 37 % 101, p) for i, p in enumerate([*paths, *paths[:9]])]
+    for parts in (1, 7):
+        d = tmp_path / str(parts)
+        spark.createDataFrame(rows, "text_id long, path string").repartition(parts).write.parquet(str(d / "raw_texts.parquet"))
+        got = [(r.place, r.path, r.text_id) for r in QUERIES["paths_in_order"](spark, str(d)).orderBy("place").collect()]
+        assert got == [(n + 1, p, i) for n, (i, p) in enumerate(sorted(rows, key=lambda r: (PurePosixPath(r[1]).parts, r[0])))]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.shared import materialize
+
 #: Hex digits of the hash by which rows are put in buckets: 4,096 of them, for each group.
 DIGITS = 3
 
@@ -31,6 +33,17 @@ def ranked(df: DataFrame, order: str, by: list[str] | None = None, rank: str = "
     return joined.withColumn(rank, F.col("_base") + F.row_number().over(w) - 1).select(*df.columns, rank)
 
 
+def placed(df: DataFrame, *order: Column, place: str = "place") -> DataFrame:
+    """``df`` with each row's place from 1 in the given order, which must be total.
+
+    Rows are sorted within ranges and written once; one count a range is summed in one place, rows never.
+    """
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}))
+    first = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).withColumn("_base", F.coalesce(F.sum("_n").over(first), F.lit(0)))
+    return rows.join(F.broadcast(base), "_part").withColumn(place, F.col("_base") + F.col("_at") - F.col("_first") + 1).select(*df.columns, place)
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The first ``n`` rows of ``df`` in the seeded order of a unique key, and all if there are fewer."""
     rows = df.withColumn("_order", seeded(F.col(key), seed))

@@ -19,7 +19,7 @@ from vellum.operators import report as Q
 from vellum.operators import segment as S
 from vellum.operators import split as L
 from vellum.operators.nearest import nearest
-from vellum.operators.ranks import batches, ranked, sample, seeded
+from vellum.operators.ranks import batches, placed, ranked, sample, seeded
 from vellum.operators.style import style_references
 from vellum.shared import spread, table
 
@@ -91,8 +91,9 @@ def path_names(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def paths_in_order(s: SparkSession, d: str) -> DataFrame:
-    """The first 20 paths, part by part."""
-    return table(s, d, "raw_texts").select("path", "text_id").orderBy(F.split("path", "/"), "text_id").limit(20)
+    """Every path with its place in order, part by part."""
+    rows = table(s, d, "raw_texts").select("path", "text_id")
+    return placed(rows, F.split("path", "/").asc_nulls_last(), F.col("text_id").asc())
 
 
 @query
