@@ -99,6 +99,16 @@ def test_cross_split_against_brute_force(spark, texts):
         splits.cross_split(e, t, threshold=0.5)
 
 
+def test_a_short_text_meets_its_repetition(spark):
+    short = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}w" for i in range(42)]
+    train = [(1, " ".join(short * 2)), (2, " ".join(short * 5)), (3, " ".join(f"x{w}" for w in short * 2)), (4, " ".join(short[:20] + ["other"] * 30))]
+    for evals, texts, want in (([(7, " ".join(short))], train, {(7, 1), (7, 2)}), (train, [(7, " ".join(short))], {(1, 7), (2, 7)})):
+        e = spark.createDataFrame([("test", i, t) for i, t in evals], "split string, line long, text string")
+        t = spark.createDataFrame(texts, "line long, text string")
+        assert {(r.eval_line, r.train_line) for r in splits.cross_split(e, t).collect()} == want
+        assert all(alike(x, y) >= 0.6 for i, x in evals for j, y in texts if (i, j) in want)
+
+
 def test_chain():
     a = [f"a{i}" for i in range(40)]
     assert splits.chain(a, a) == (1.0, 1.0)

@@ -4,7 +4,8 @@ Each text is fingerprinted by winnowing: of every ``WINDOW`` consecutive runs of
 hash is kept, so that two texts that share ``GRAM + WINDOW - 1`` = 8 words in a row share a fingerprint. A pair of texts
 of more than 42 words with a three-word similarity of 0.6 must share such a run: were each shared run of 7 words or
 less, m runs would share 5m shingles at most and break 4(m - 1) at least, which is below 0.6 for more than 6 runs.
-Shorter texts are joined on all their three-word runs. By the same count such a pair shares at least
+Shorter texts are joined on all their three-word runs, of which they have 40 at most; what is similar to them has 67
+distinct ones at most, however long it is through repetition, and has them all as seeds, too. By the same count such a pair shares at least
 (s / 6 - 5) / 3 fingerprints for s = 0.375 times both texts' shingles, and two short texts s three-word runs; so much is
 asked for before the texts are fetched, of texts of which a quarter repeats itself only one. (In the test tables pairs
 from 0.6 share 8 times that and more.) Then the seeds of a pair are chained, extended word by word, and its similarity
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,10 @@ from vellum.llm.words import content, grams, lists, mix, slices, winnow, word_ha
 from vellum.shared import anti, bounded, materialize, semi, spread
 
 GRAM, WINDOW, SHINGLE = 6, 3, 3
-#: Up to SHORT words all three-word runs are seeds; above LONG words the winnowed ones are. Texts between have both.
-SHORT, LONG = 80, 42
 THRESHOLD = 0.6
+#: Up to SHORT words, or FEW distinct shingles, all three-word runs are seeds; above LONG words the winnowed ones are. Texts between have both.
+SHORT, LONG = 80, 42
+FEW = ceil((LONG - SHINGLE + 1) / THRESHOLD)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,13 +54,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 c = content(h[lo:hi]) if len(shingles) else int(np.int64(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=1))))
                 cs.append(c)
                 repeats = 4 * len(shingles) < 3 * (hi - lo - SHINGLE + 1)
-                ns.append(4 * len(shingles) + 2 * int(hi - lo <= SHORT) + int(repeats))
+                short = hi - lo <= SHORT or len(shingles) <= FEW
+                ns.append(4 * len(shingles) + 2 * int(short) + int(repeats))
                 key = (side == "train", c)
                 nulls.append(key in seen or not len(shingles))
                 if not nulls[-1]:
                     seen.add(key)
                     part = []
-                    if hi - lo <= SHORT:
+                    if short:
                         part.append(mix(shingles))
                     if hi - lo > LONG:
                         own = g6[lo : hi - GRAM + 1]
