@@ -86,6 +86,16 @@ def test_the_valley_is_cut():
     assert abs(cut - len(a * 16)) <= len(a)
 
 
+def test_a_boundary_in_the_first_half_is_cut():
+    words = "Some words here. " * 15
+    assert pieces.split_points(words + "x" * 3000, 1000, 80)[0] == (0, len(words))
+    assert pieces.split_points(words + "\n\n" + "Mill " * 10 + "x" * 3000, 1000, 80)[0] == (0, len(words) + 2)
+    cut = pieces.split_points("x" * 60 + " " + "y" * 3000, 1000, 80)
+    assert cut[0] == (0, 1000) and all(0 < e - s <= 1000 for s, e in cut)
+    cut = pieces.split_points("水" * 89 + "。" + "「" + "火" * 30 + "！」" + "木" * 970, 1000, 80)
+    assert cut[0][1] in (90, 123)
+
+
 def test_pieces_awkward(spark):
     rows = pieces.pieces(awkward(spark), "line_no", 2400, 100).collect()
     assert {r.rec_id for r in rows} == {3, 5}

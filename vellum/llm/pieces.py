@@ -1,7 +1,7 @@
 """Texts above a size limit in pieces within it, cut where the vocabulary changes most.
 
 Within the second half of what a piece may hold, the best kind of boundary there is is taken: paragraph, line, sentence,
-word, else any character. Of several boundaries of that kind the one in the deepest valley of lexical cohesion is cut:
+word; if it has none, the best kind in the first half beyond the overlap, else any character. Of several boundaries of that kind the one in the deepest valley of lexical cohesion is cut:
 the similarity of the word counts of the blocks before and after it, against the peaks on either side. The next piece
 begins at a sentence or word within the overlap before the cut.
 
@@ -25,7 +25,7 @@ from vellum.shared import ship
 
 #: Characters of the blocks compared on either side of a boundary, and places their words are counted in.
 BLOCK, PLACES = 600, 128
-_KINDS = tuple(re.compile(x) for x in (r"\n[^\S\n]*\n\s*", r"\n", r"(?<=[.!?…])[”“»\"')\]]*\s+", r"\s+"))
+_KINDS = tuple(re.compile(x) for x in (r"\n[^\S\n]*\n\s*", r"\n", r"(?<=[.!?…])[”“»\"')\]]*\s+|(?<=[。！？])[”」』）]*\s*", r"\s+"))
 
 
 def _counts(text: str) -> np.ndarray:
@@ -57,19 +57,20 @@ def depths(similarity: np.ndarray) -> np.ndarray:
 
 
 def _boundaries(text: str, lo: int, hi: int) -> list[int]:
-    """The ends of the best kind of boundary in (lo, hi]."""
+    """The ends of the best kind of boundary in (lo, hi]; none if there is no boundary."""
     for kind in _KINDS:
         found = [m.end() for m in kind.finditer(text, lo, hi) if lo < m.end() <= hi]
         if found:
             return found
-    return [hi]
+    return []
 
 
 def split_points(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Start and end of each piece; every end but the last is a chosen boundary."""
     n, start, out = len(text), 0, []
     while n - start > limit:
-        cuts = _boundaries(text, start + max(overlap + 1, limit // 2), start + limit)
+        least, middle, most = start + overlap + 1, start + max(overlap + 1, limit // 2), start + limit
+        cuts = _boundaries(text, middle, most) or _boundaries(text, least, middle) or [most]
         cut = cuts[int(np.argmax(depths(cohesion(text, cuts))))] if len(cuts) > 1 else cuts[0]
         out.append((start, cut))
         back = max(start + 1, cut - overlap)
