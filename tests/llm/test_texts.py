@@ -216,6 +216,21 @@ def test_kinds_of_defects(spark):
     assert defects.pair_defects(df.where("false")).count() == 0
 
 
+def test_refusals_and_languages_of_whole_texts():
+    outline = "The outline asks for a scene at the mill in which the clerk sells the boat of the widow, whom nobody in the village has seen since the harvest, and then walks to the weir. The story setting is the river after a long and cold winter, and its prompt gives the names of the miller and his two sons, who wait for the ferry. "
+    assert defects.declines(outline + "I cannot write this.")
+    policy = "As an AI language model, I follow rules about what content I may write for others. My guidelines do not allow me to write a scene with this content. " * 6
+    assert len(policy.split()) > 120 and defects.declines(policy)
+    story = "I could not find the boat. The clerk walked to the mill, and the widow stood at the weir. " * 12
+    assert not defects.declines(story) and not defects.declines("The clerk walked to the mill. " * 40 + "I cannot write to them again.")
+    polish = "Młynarz poszedł nad rzekę, żeby zobaczyć łódź, ale nikt jej tam nie znalazł, więc wrócił do domu przed zmrokiem i zamknął drzwi."
+    swedish = "Mjölnaren gick till älven för att se båten, men ingen hade hittat henne där, så han vände hem före mörkret och stängde dörren."
+    russian = "Мельник пошёл к реке."
+    for text in (polish, swedish, russian):
+        assert defects.other_language(story, text)
+    assert not defects.other_language(story, story) and not defects.other_language(russian, russian) and not defects.other_language(story, "Café. Ann went home.")
+
+
 def test_neighbours_find_shortened_texts(spark):
     base = "The clerk walked from the mill to the weir and nobody sold the boat. "
     texts = [base + f"Then {i} came home." for i in range(30)] + [base + "Then 7 came", base + "Then 7 came", base[:45], None, ""]

@@ -1,7 +1,8 @@
 """Broken prompt and response pairs: each defective row with one kind of defect.
 
-Kinds, the first that applies: ``empty`` (no sentence at all), ``refusal`` (a short text that declines), ``copy`` (most of
-the response's four-word runs stand in the prompt's text), ``language`` (function words of another language prevail),
+Kinds, the first that applies: ``empty`` (no sentence at all), ``refusal`` (a short text that declines, or one most of
+whose sentences decline or talk about the task), ``copy`` (most of the response's four-word runs stand in the prompt's
+text), ``language`` (function words of another language prevail, or the prompt's are missing, or another script prevails),
 ``truncated``. Truncation takes the length-limit spikes and endings of ``truncation``, and the responses sorted by
 stem, the text up to its last word: where the next stem goes on from the whole of a response's stem, the shorter one is
 a cut version unless a sentence clearly ends there. After a quotation mark, an abbreviation or an ellipsis the neighbour decides.
@@ -31,8 +32,12 @@ COPIED = 0.6
 GRAM = 4
 #: A refusal is no longer than this many words.
 REFUSAL_WORDS = 120
+#: Share of a longer text's sentences that decline or talk about the task, if it is a refusal.
+REFUSING = 0.5
 #: Words that a text needs before its language is judged, and by how much another language must prevail.
 LANGUAGE_WORDS, MARGIN = 12, 0.05
+#: Share of function words from which a prompt's language is clear, and up to which the response has none of it.
+CLEAR, MISSING = 0.2, 0.05
 #: Log odds that a longer neighbour adds; after an ambiguous ending they stand in the place of the prior, which holds for texts of any kind.
 SHORTENED = 5.0
 #: Characters of a stem that a longer neighbour may go on from.
@@ -70,6 +75,7 @@ TASK_WORDS = set(
     " szene entwurf schreiben verfassen geschichte anfrage helfen abschnitt scène rédiger écrire plan histoire demande aider extrait escena fragmento escribir redactar esquema historia solicitud ayudar".split()
 )
 TASK_TEXT_WORDS = 60
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
 def language(text: str | None) -> tuple[str | None, list[float]]:
@@ -86,23 +92,43 @@ def language(text: str | None) -> tuple[str | None, list[float]]:
     return (_LANGS[best] if share[best] >= 0.08 else None), share
 
 
+def _foreign(text: str | None) -> bool:
+    """Whether most of a text's letters are of another script than the Latin one."""
+    if not text or len(text.encode("utf-8", "surrogatepass")) < 1.3 * len(text):
+        return False
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters) > len(letters)
+
+
 def other_language(prompt: str | None, response: str | None) -> bool:
-    """Whether another language than the prompt's prevails in the response, by ``MARGIN`` at least."""
-    a, _ = language(prompt)
+    """Whether another language than the prompt's prevails in the response, by ``MARGIN`` at least; or another script, or a language that isn't known, where the prompt's is clear."""
+    a, clear = language(prompt)
+    if not a:
+        return False
+    if _foreign(response):
+        return not _foreign(prompt)
     b, share = language(response)
-    return bool(a and b and a != b and share[_LANGS.index(b)] - share[_LANGS.index(a)] >= MARGIN)
+    if b and b != a and share[_LANGS.index(b)] - share[_LANGS.index(a)] >= MARGIN:
+        return True
+    return bool(share) and clear[_LANGS.index(a)] >= CLEAR and share[_LANGS.index(a)] <= MISSING
 
 
 def declines(text: str) -> bool:
-    """Whether a short text declines to write, outside of speech in quotation marks."""
-    if len(text.split(None, REFUSAL_WORDS)) > REFUSAL_WORDS:
-        return False
+    """Whether a text declines to write, outside of speech in quotation marks."""
     bare = re.sub(r"[“„«][^”“»]*[”“»]|\"[^\"]*\"", " ", _OPENER.sub("", text))
-    m = _REFUSAL.search(bare)
-    if m and m.start() <= 160:
-        return True
-    found = [w.lower() for w in WORD.findall(bare)]
-    return len(found) <= TASK_TEXT_WORDS and sum(w in TASK_WORDS for w in found) >= 2 and ending(text) == "closed"
+    if len(text.split(None, REFUSAL_WORDS)) <= REFUSAL_WORDS:
+        m = _REFUSAL.search(bare)
+        if m and m.start() <= 160:
+            return True
+        found = [w.lower() for w in WORD.findall(bare)]
+        if len(found) <= TASK_TEXT_WORDS and sum(w in TASK_WORDS for w in found) >= 2 and ending(text) == "closed":
+            return True
+    told = [(x, sum(w in TASK_WORDS for w in found)) for x in _SENTENCE.split(bare) if (found := WORD.findall(x.lower()))]
+    least = max(2, REFUSING * len(told))
+    # What a story's narrator can't do has nothing to do with the task; few texts need the long pattern.
+    if sum(n > 0 for _, n in told) < least or not _REFUSAL.search(bare):
+        return False
+    return sum(n >= 2 or n == 1 and bool(_REFUSAL.search(x)) for x, n in told) >= least
 
 
 def is_empty(text: str | None) -> bool:
