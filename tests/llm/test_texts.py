@@ -47,9 +47,58 @@ def test_lines_salted_join_gives_the_same(spark, monkeypatch):
     assert key(lines.repeated_lines(df, "grp", "rec")) == first and len(first) >= 40
 
 
-def test_masked_lines_share_bands():
-    a, b, c = lines.line_keys(["This edition was printed for Ann Lee in May 1897", "This edition was printed for Bo Day in June 1911", "the boat lay by the weir all winter long"])
-    assert a[0] != b[0] and (a[1:] == b[1:]).all() and not (a[1:] == c[1:]).any()
+def test_skeletons_mask_names_numbers_and_dates():
+    same = lambda *xs: len({lines.skeleton(x).tobytes() for x in xs}) == 1
+    assert same("This edition was printed for Ann Lee in May 1897", "This edition was printed for Bo van Day in June 1911") is False
+    assert same("This edition was printed for Ann Lee in May 1897", "This edition was printed for Bo Day in June 1911")
+    assert same("*** START OF THE BROWN FOX ***", "*** START OF UNDER THE MILL ***") and not same("*** START OF A FOX ***", "*** END OF A FOX ***")
+    assert not len(lines.skeleton("THE BROWN FOX")) and not len(lines.skeleton("12 — 1911")) and len(lines.skeleton("By Ann Lee"))
+    keys = lines.bands([lines.skeleton(x) for x in ("This edition was printed for Ann Lee in 1897", "This edition was printed for Bo Day in 1911", "the boat lay by the weir all winter long")])
+    assert (keys[0] == keys[1]).all() and not (keys[0] == keys[2]).any() and lines.bands([]).shape == (0, lines.BANDS)
+
+
+def near_lines(rows=80):
+    """Rows of own prose, a third of which have a notice with small changes, a byline and a marker; what is planted, by place."""
+    rng, planted, out = random.Random(9), set(), []
+    vocabulary = [f"{a}{b}" for a in "bdfglmprstvk" for b in ("amble", "orrin", "usty", "ellow", "istle", "aven", "eeder", "onic")]
+    prose = lambda: " ".join(rng.choice(vocabulary) for _ in range(12)) + "."
+    notice = "please keep this copy of the text with the readers of the river library and tell them about each misprint you find".split()
+    for i in range(rows):
+        ls = [prose() for _ in range(6)]
+        if i % 3 == 0:
+            n = list(notice)
+            n[rng.randrange(len(n))] = rng.choice(vocabulary)
+            for x in (" ".join(n), f"By {rng.choice(vocabulary).title()} {rng.choice(vocabulary).title()}", f"*** END OF {' '.join(rng.sample(vocabulary, 3)).upper()} ***"):
+                at = rng.randrange(len(ls) + 1)
+                ls.insert(at, x)
+        planted |= {(i, j) for j, x in enumerate(ls) if x.startswith(("By ", "***")) or "library" in x or "misprint" in x}
+        out.append((i, "s", "\n".join(ls)))
+    return out, planted
+
+
+def test_near_lines_are_found_by_their_cluster(spark):
+    rows, planted = near_lines()
+    df = spark.createDataFrame(rows, "rec long, grp string, text string")
+    found = {(r.rec, r.pos): r for r in lines.repeated_lines(df, "grp", "rec").collect()}
+    assert set(found) <= planted and len(found) >= 0.98 * len(planted) and not any(r.exact for r in found.values())
+    text = {r.rec: r.text for r in lines.without_lines(df, lines.repeated_lines(df, "grp", "rec"), "rec").collect()}
+    assert not any("*** END" in t or "By " in t for t in text.values())
+
+
+def test_a_cluster_unites_bands(spark):
+    base = "all rights to the paper edition of this text rest with the society of readers so ask before you print it".split()
+    chain = [" ".join(f"x{j}" if j < i else w for j, w in enumerate(base)) for i in range(7)]
+    # Each differs from the next by one word, the first from the last by seven; rows of their own are too few.
+    rows = [(i, "s", f"{chain[i % 7]}\nown {i} {'abcdefghijklmnop'[i % 16]} words") for i in range(14)] + [(100 + i, "s", f"some {chr(97 + i % 26)}{chr(97 + i // 26)} body") for i in range(20)]
+    df = spark.createDataFrame(rows, "rec long, grp string, text string")
+    found = lines.repeated_lines(df, "grp", "rec").where("pos = 0").collect()
+    assert len({r.cluster for r in found}) == 1 and len(found) >= 10 and not any(r.exact for r in found)
+
+
+def test_lines_of_two_tables(spark):
+    rows = [(t, i, "s", f"Page {i} of this\n{t} {chr(97 + i)}") for t in "ab" for i in range(5)] + [("b", 9 + i, "s", f"more {i}x{chr(97 + i)}") for i in range(80)]
+    df = spark.createDataFrame(rows, "t string, rec long, grp string, text string")
+    assert {(r.part, r.rec) for r in lines.repeated_lines(df, "grp", "rec", part="t").where("exact").collect()} == {("a", i) for i in range(5)}
 
 
 def test_lines_awkward(spark):

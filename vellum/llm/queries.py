@@ -27,24 +27,37 @@ SIZED = (("raw_texts", "text_id", 24_000, 400), ("raw_excerpts", "line_no", 2_40
 SIMILAR = {"threshold": 0.6, "shingle": 3}
 
 
+def _repeated(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of repeated clusters of both tables, found in one pass; ``part`` names the table."""
+    each = [table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(g).alias("grp"), F.col(r).alias("rec_id"), "text") for t, g, r in LINED]
+    return repeated_lines(each[0].unionByName(each[1]), "grp", "rec_id", part="tbl")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    each = [repeated_lines(table(spark, d, t), g, r).where("exact").select(F.lit(t).alias("tbl"), F.col("rec").alias("rec_id"), F.col("pos").alias("line_pos")) for t, g, r in LINED]
-    return each[0].unionByName(each[1])
+    """Of the lines of repeated clusters those whose own form is repeated, as the definition asks."""
+    return _repeated(spark, d).where("exact").select(F.col("part").alias("tbl"), F.col("rec").alias("rec_id"), F.col("pos").alias("line_pos"))
 
 
-def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Each text without its repeated lines."""
+def _cleaned(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
     each = []
-    for t, g, r in LINED:
-        df = table(spark, d, t)
-        each.append(without_lines(df, repeated_lines(df, g, r).where("exact"), r).select(F.lit(t).alias("tbl"), F.col("rec").alias("rec_id"), "text"))
+    for t, _, r in LINED:
+        each.append(without_lines(table(spark, d, t), found.where(F.col("part") == t), r).select(F.lit(t).alias("tbl"), F.col("rec").alias("rec_id"), "text"))
     return each[0].unionByName(each[1])
 
 
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Each text without the lines of repeated clusters, whatever their names, numbers and small changes."""
+    return _cleaned(spark, d, materialize(_repeated(spark, d)))
+
+
+def p1_clean_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Each text without the lines whose own form is repeated."""
+    return _cleaned(spark, d, materialize(_repeated(spark, d).where("exact")))
+
+
 def p1_near(spark: SparkSession, d: str) -> DataFrame:
     """Lines by group that only their cluster, not their own form, shows to be repeated."""
-    each = [repeated_lines(table(spark, d, t), g, r).groupBy("grp").agg(F.count("*").alias("lines"), F.sum(F.when(F.col("exact"), 1).otherwise(0)).alias("exact_lines")).select(F.lit(t).alias("tbl"), "grp", "lines", "exact_lines") for t, g, r in LINED]
-    return each[0].unionByName(each[1])
+    return _repeated(spark, d).groupBy(F.col("part").alias("tbl"), "grp").agg(F.count("*").alias("lines"), F.sum(F.when(F.col("exact"), 1).otherwise(0)).alias("exact_lines"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +182,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        *(p1_found, p1_clean, p1_near, p2_found, p2_by_teacher, p3_found, p3_groups, p4_found, p4_report, p4_records, p5_found, p5_split),
+        *(p1_found, p1_clean, p1_clean_exact, p1_near, p2_found, p2_by_teacher, p3_found, p3_groups, p4_found, p4_report, p4_records, p5_found, p5_split),
         *(p6_found, p6_pieces, p7_found, p7_rates, p8_ids, p9_found, p9_items, p10_found, p10_coverage, p10_clean),
     )
 }
@@ -220,7 +233,7 @@ reach AS (SELECT kind, x, y FROM ed UNION SELECT r.kind, r.x, e.y FROM reach r J
 SQL: dict[str, str] = {
     "p5_found": _TIES + " SELECT kind, x AS key_a, y AS key_b FROM reach WHERE x < y",
     "p1_found": _FOUND_LINES + "SELECT tbl, rec_id, line_pos FROM found",
-    "p1_clean": _FOUND_LINES
+    "p1_clean_exact": _FOUND_LINES
     + """, gone AS (SELECT tbl, rec_id, list(line_pos) AS gone FROM found GROUP BY ALL),
 all_ AS (SELECT 'raw_texts' AS tbl, text_id AS rec_id, text FROM raw_texts UNION ALL SELECT 'raw_excerpts', line_no, text FROM raw_excerpts)
 SELECT a.tbl, a.rec_id, CASE WHEN g.gone IS NULL THEN a.text

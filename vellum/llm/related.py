@@ -2,21 +2,26 @@
 
 Each round every component takes its least edge and joins what lies beyond it; pointers are shortened by doubling, the
 edges taken are written as a table of the forest, and the rest is renamed to the new components. A round at least halves
-the components that have an edge, so there are few. All tables are written in the shared folder between steps; nothing is
-gathered in the driver but row counts.
+the components that have an edge, so there are few. Once no more than ``LOCAL`` edges are left, one task contracts them,
+to the same forest. All tables are written in the shared folder between steps; nothing is gathered in the driver but row
+counts.
 
 Null keys tie nothing. An empty table gives an empty forest. Repeated ties count once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.shared import materialize
+from vellum.shared import materialize, ship
 
+#: Edges that one task contracts: 8 MB.
+LOCAL = 200_000
 #: Bands of components of 1 / LARGE of all rows or more are dealt first: they have LARGE components at most. A lane of the
 #: other bands has about LANE components.
 LARGE, LANE = 1000, 10_000
@@ -24,14 +29,39 @@ LARGE, LANE = 1000, 10_000
 PATTERN = 500
 
 
-def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``node, root`` of all nodes of ``edges(a, b)`` (longs), and the forest's edges ``a, b, round``."""
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rest of the contraction of at most ``LOCAL`` edges: ``a, b`` of each edge taken, and ``u, root`` of each component."""
+    edges = sorted(e for x in batches for e in zip(*(x.column(i).to_pylist() for i in (4, 2, 3, 0, 1)), strict=True))
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    taken = []
+    for _, a, b, u, v in edges:  # in order of weight each joins two components or none, which gives the rounds' own forest
+        x, y = top(u), top(v)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            taken.append((a, b))
+    ends = [(u, top(u)) for u in list(parent)]
+    at = pa.array([a for a, _ in taken] + [None] * len(ends), pa.int64()), pa.array([b for _, b in taken] + [None] * len(ends), pa.int64())
+    of = pa.array([None] * len(taken) + [u for u, _ in ends], pa.int64()), pa.array([None] * len(taken) + [r for _, r in ends], pa.int64())
+    yield pa.RecordBatch.from_arrays([*at, *of], ["a", "b", "u", "root"])
+
+
+def forest(edges: DataFrame, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
+    """``node, root`` of all nodes of ``edges(a, b)`` (longs), and the forest's edges ``a, b, round``.
+
+    Weights are distinct (a hash of the ends, then the ends), so there is one minimum forest, whoever contracts it.
+    """
     weight = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
     left = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"), weight.alias("w")))
-    labels = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    labels = None  # until the first round each node is its own component
     kept: list[DataFrame] = []
     turn = 0
-    while left.count():
+    while (n := left.count()) > local:
         turn += 1
         ends = left.select(F.explode(F.array(F.struct("u", "v", "w", "a", "b"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w", "a", "b"))).alias("x")).select("x.*")
         least = materialize(ends.groupBy("u").agg(F.min(F.struct("w", "a", "b", "v")).alias("x")).select("u", "x.v", "x.a", "x.b"))
@@ -41,14 +71,27 @@ def forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         point = materialize(least.select("u", "v").join(back, "v").select("u", F.when((F.col("again") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p")))
         while True:
             ahead = point.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            point = materialize(point.join(ahead, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            twice = point.join(ahead, "p").select("u", "q")
+            further = twice.select(F.col("u").alias("q"), F.col("q").alias("r"))
+            point = materialize(twice.join(further, "q").select("u", F.col("r").alias("p"), (F.col("r") != F.col("q")).alias("moved")))
             if not point.where("moved").limit(1).count():
                 break
         at = point.select("u", "p")
-        labels = materialize(labels.join(at.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+        if labels is None:
+            labels = at.select(F.col("u").alias("node"), F.col("p").alias("root"))
+        else:
+            labels = materialize(labels.join(at.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
         left = materialize(left.join(at.withColumnRenamed("p", "pu"), "u").join(at.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v").where("pu <> pv").select("a", "b", F.col("pu").alias("u"), F.col("pv").alias("v"), "w"))
-    forest_edges = reduce(DataFrame.unionByName, kept) if kept else left.select("a", "b", F.lit(0).alias("round"))
-    return labels, materialize(forest_edges)
+    if n or labels is None:
+        ship(left.sparkSession)
+        rest = materialize(left.select("u", "v", "a", "b", "w").coalesce(1).mapInArrow(_contract, "a long, b long, u long, root long"))
+        kept.append(rest.where("a is not null").select("a", "b", F.lit(turn + 1).alias("round")))
+        at = rest.where("u is not null").select("u", F.col("root").alias("p"))
+        if labels is None:
+            labels = at.select(F.col("u").alias("node"), F.col("p").alias("root"))
+        else:
+            labels = materialize(labels.join(at.select(F.col("u").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+    return labels, materialize(reduce(DataFrame.unionByName, kept))
 
 
 def _stem(name: Column) -> Column:
