@@ -95,8 +95,17 @@ def test_cross_split_against_brute_force(spark, texts):
     want = Counter((s, i, j) for s, i, x in evals if s and x is not None for j, y in train if x == y or alike(x, y) >= 0.6)
     assert got == want and len(want) > 60
     assert splits.cross_split(e.where("false"), t).count() == 0 == splits.cross_split(e, t.where("false")).count()
-    with pytest.raises(ValueError, match="0.6"):
-        splits.cross_split(e, t, threshold=0.5)
+
+
+def test_repetitive_texts_and_hot_passages_lose_no_pair(spark):
+    notice = [f"n{i}" for i in range(60)]
+    few = [f"r{i}" for i in range(25)]
+    bases = [notice + story(90) for _ in range(25)] + [[rng.choice(few) for _ in range(150)] for _ in range(25)] + [story(30) * rng.choice([2, 3]) for _ in range(20)]
+    train = [(i, write(b)) for i, b in enumerate(bases)]
+    evals = [("test", 1000 + i, write(changed(b, rng.choice([0.03, 0.08, 0.12])))) for i, b in enumerate(bases)]
+    e, t = spark.createDataFrame(evals, "split string, line long, text string"), spark.createDataFrame(train, "line long, text string")
+    want = {(i, j) for _, i, x in evals for j, y in train if alike(x, y) >= 0.6}
+    assert {(r.eval_line, r.train_line) for r in splits.cross_split(e, t).collect()} == want and len(want) > 40
 
 
 def test_a_short_text_meets_its_repetition(spark):
@@ -165,24 +174,47 @@ def test_shared_spans_against_brute_force(spark):
     docs += [docs[0], "z" * 700, "z" * 400, " " * 500, "", docs[5].upper(), docs[5].replace("\n", "\r\n"), LONG[:30_000]]
     rows = [(i, t) for i, t in enumerate(docs)] + [(900, None), (None, docs[3])]
     df = extra(spark.createDataFrame(rows, "doc_id long, text string"))
-    links, members = spans.shared_spans(df)
-    got = {(r.doc_id_a, r.doc_id_b) for r in spans.doc_pairs(links, members).collect()}
+    links, sets, members = spans.shared_spans(df)
+    got = {(r.doc_id_a, r.doc_id_b) for r in spans.doc_pairs(links, sets, members).collect()}
     grams = [{t[i : i + 300] for i in range(len(t) - 299)} for t in docs]
     want = {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if grams[i] & grams[j]}
     assert got == want and len(want) > 25
-    cover = {r.doc_id: r.shared_chars for r in spans.coverage(links, members).collect()}
+    cover = {r.doc_id: r.shared_chars for r in spans.coverage(links, sets, members).collect()}
     for i, t in enumerate(docs):
         other = set().union(*(g for j, g in enumerate(grams) if j != i))
         marks = {p for s in range(len(t) - 299) if t[s : s + 300] in other for p in range(s, s + 300)}
         assert cover.get(i, 0) == len(marks)
-    kept = {r.doc_id: r.text for r in spans.deduplicated(df, links, members).collect()}
+    kept = {r.doc_id: r.text for r in spans.deduplicated(df, links, sets, members).collect()}
     assert kept[140] == "" and kept[900] is None and kept[1] == docs[1] and sum(len(x or "") for x in kept.values()) < sum(map(len, docs)) - 3000
 
 
+@pytest.mark.parametrize("hot", [2, 16])
+def test_a_hot_passage_makes_no_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
+    body = lambda n: " ".join(story(n)).capitalize() + ". "
+    notice, rest = body(90), body(45)
+    docs = [body(20 + i) + notice + (rest if i % 10 == 3 else "") + body(30) for i in range(30)] + [body(200), body(40) + rest + body(20)]
+    docs.append(docs[2])
+    assert len(notice) > 330 and len(rest) < 290
+    df = spark.createDataFrame([(100 - i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    links, sets, members = spans.shared_spans(df)
+    assert links.count() <= 3 and sets.count() <= 6 * 31
+    grams = [{t[i : i + 300] for i in range(len(t) - 299)} for t in docs]
+    got = {(r.doc_id_a, r.doc_id_b) for r in spans.doc_pairs(links, sets, members).collect()}
+    assert got == {(100 - j, 100 - i) for i in range(len(docs)) for j in range(i + 1, len(docs)) if grams[i] & grams[j]}
+    cover = {r.doc_id: r for r in spans.coverage(links, sets, members).collect()}
+    for i, t in enumerate(docs):
+        other = set().union(*(g for j, g in enumerate(grams) if j != i))
+        marks = {p for s in range(len(t) - 299) if t[s : s + 300] in other for p in range(s, s + 300)}
+        assert cover[100 - i].shared_chars == len(marks) and cover[100 - i].shared_with == sum(bool(grams[i] & g) for j, g in enumerate(grams) if j != i)
+    kept = {r.doc_id: r.text for r in spans.deduplicated(df, links, sets, members).collect()}
+    assert sum(notice[:-1] in t for t in kept.values()) == 1 and notice in kept[68]
+
+
 def test_shared_spans_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    links, members = spans.shared_spans(df)
-    assert spans.doc_pairs(links, members).count() == spans.coverage(links, members).count() == spans.deduplicated(df, links, members).count() == 0
+    links, sets, members = spans.shared_spans(df)
+    assert spans.doc_pairs(links, sets, members).count() == spans.coverage(links, sets, members).count() == spans.deduplicated(df, links, sets, members).count() == 0
     with pytest.raises(ValueError, match="300"):
         spans.shared_spans(df, least=100)
 
@@ -237,7 +269,8 @@ def test_related_keys_and_splits(spark):
     assert got == want | {("source", a, b) for i, a in enumerate(names) for b in names[i + 1 :]}
     rows = related.related_splits(e, p).collect()
     split = {(r.kind, r.key): r.split for r in rows}
-    assert len(rows) == len(split) == 12 and len({split["source", n] for n in names}) == 1
+    assert len(rows) == len(split) == 14 and len({split["source", n] for n in names}) == 1
+    assert split["excerpt", "6"] and split["pair", None] == "train"
     assert related.related_splits(e.where("false"), p.where("false")).count() == 0
     roots = {(r.kind, r.key): r.root for r in related.related(e.withColumn("id", F.when(F.col("id") == "4", "0123456789ab").otherwise(F.col("id"))), p, together=True).collect()}
     assert roots["source", "bo_lee__q.txt"] == roots["pair", pair[0]] == roots["source", "omnibus.txt"] != roots["pair", "odd_x"]

@@ -135,6 +135,11 @@ def test_the_valley_is_cut():
     assert abs(cut - len(a * 16)) <= len(a)
 
 
+def test_a_valley_is_as_deep_as_the_peaks_it_climbs_to():
+    got = pieces.depths(np.array([0.9, 0.1, 0.5, 0.4, 0.5]))
+    assert got == pytest.approx([0.0, 1.2, 0.0, 0.2, 0.0]) and pieces.depths(np.array([0.3])) == pytest.approx([0.0])
+
+
 def test_a_boundary_in_the_first_half_is_cut():
     words = "Some words here. " * 15
     assert pieces.split_points(words + "x" * 3000, 1000, 80)[0] == (0, len(words))
@@ -160,7 +165,8 @@ def test_pieces_awkward(spark):
 @pytest.mark.parametrize(
     ("text", "kind"),
     [
-        ("He went to the mill and sat do", "word"),
+        ("He went to the mill and sat do", "fragment"),
+        ("He went to the mill and then he", "word"),
         ("He went to the mill, and the clerk,", "clause"),
         ("“I will go,” he said. “", "clause"),
         ("He went to the mi�", "broken"),
@@ -187,8 +193,8 @@ def test_endings(text, kind):
 
 def test_an_ending_like_the_models_is_closed():
     model = "It rained on the mill all day. The old cook walked from the weir to the market square at noon without"
-    assert truncation.ending("So " + model, model) == "closed" and truncation.ending("So " + model) == "word"
-    assert truncation.ending(model[:-7] + "vibrant", model + ".") == "closed" and truncation.ending(model[:-20], model + ".") == "word"
+    assert truncation.ending("So " + model, model) == "closed" and truncation.ending("So " + model) == "fragment"
+    assert truncation.ending(model[:-7] + "vibrant", model + ".") == "closed" and truncation.ending(model[:-20], model + ".") in truncation.OPEN
 
 
 def test_censored_fit_recovers_the_lengths():
@@ -208,7 +214,7 @@ def test_limits_and_rates(spark):
     rows = [(i, s, t if len(t) == 1400 else t.rsplit(".", 1)[0] + ".") for i, s, t in rows] + [(900 + i, None, "Whole and done it is.") for i in range(3)]
     df = spark.createDataFrame(rows, "line_no long, src string, text string")
     feats = materialize(truncation.features(df, "line_no", "src", "text"))
-    assert {(r.measure, r.length) for r in truncation.limits(feats).where("source = 't' and censored > 0.9").collect()} >= {("chars", 1400), ("bytes", 1400)}
+    assert {(r.measure, r.length) for r in truncation.limits(feats).where("source = 't' and odds > 9").collect()} >= {("chars", 1400), ("bytes", 1400)}
     out = truncation.judged(feats)
     assert {r.key for r in out.where("truncated").collect()} == {i for i, _, t in rows if len(t) == 1400 and not t.rstrip().endswith(".")}
     assert {r.source: r.texts for r in truncation.rates(out).collect()} == {"t": 400, "": 3}
@@ -228,6 +234,27 @@ def test_only_the_limit_tells(spark):
     assert {r.key for r in truncation.judged(feats).where("truncated and key >= 400").collect()} == {400, 401}
 
 
+def test_the_limit_overrules_the_ending_both_ways(spark):
+    rng = random.Random(4)
+    body = "the clerk sold the boat and the widow wept again at the mill by the river " * 60
+    plain = lambda n: body[: n if not 1380 < n < 1420 else 1200].rsplit(" ", 1)[0]
+    # One teacher never sets a last full stop; the other always does. Both have a limit of 1,400 characters.
+    rows = [(i, "bare", plain(rng.randint(300, 2600))) for i in range(300)] + [(300 + i, "bare", body[i : 1400 + i]) for i in range(20)]
+    rows += [(400 + i, "dots", plain(rng.randint(300, 2600)) + ".") for i in range(300)] + [(700 + i, "dots", body[i : 1400 + i]) for i in range(20)]
+    rows += [(800, "dots", plain(900)), (801, "dots", body[:896] + "weptagai"), (802, "bare", body[:896] + "weptagai")]
+    end = "they called it “the Gull”"
+    rows += [(810, "dots", body[: 1400 - len(end)] + end), (811, "dots", body[: 1310 - len(end)] + end), (812, "dots", body[:1399] + ".")]
+    rows = [(i, t, x.replace("weptagai", "zzweptagai"[:8])) for i, t, x in rows]
+    df = spark.createDataFrame(rows, "line_no long, src string, text string")
+    feats = materialize(truncation.features(df, "line_no", "src", "text"))
+    cut = {r.key for r in truncation.judged(feats).where("truncated").collect()}
+    ends = {i: truncation.ending(x) for i, _, x in rows}
+    assert {i for i in range(300) if ends[i] == "word"} and not cut & set(range(300))  # open, but whole
+    assert cut >= {300 + i for i in range(20) if ends[300 + i] != "closed"} and cut >= {700 + i for i in range(20)}
+    assert ends[810] == ends[811] == "marked" and 810 in cut and 811 not in cut  # not open, but cut
+    assert {800, 801} <= cut and not cut & (set(range(400, 700)) | {812})
+
+
 def test_truncation_awkward(spark):
     feats = materialize(truncation.features(awkward(spark), "line_no", "src", "text"))
     assert feats.count() == 9
@@ -282,11 +309,11 @@ def test_refusals_and_languages_of_whole_texts():
 
 def test_neighbours_find_shortened_texts(spark):
     base = "The clerk walked from the mill to the weir and nobody sold the boat. "
-    texts = [base + f"Then {i} came home." for i in range(30)] + [base + "Then 7 came", base + "Then 7 came", base[:45], None, ""]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    texts = [base + f"Then {i} came home." for i in range(30)] + [base + "Then 7 came", base + "Then 7 came", base[:30], None, "", base + "Then 8 came home.”"]
+    df = spark.createDataFrame([("p", t) for t in texts] + [("q", base), (None, base), (None, base + "More.")], "p string, t string")
     for parts in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        assert defects.shortened(df, "t").count() == 2
+        assert {r.t for r in defects.shortened(df, "p", "t").withColumnRenamed("p", "q").join(df.withColumn("k", F.xxhash64("p")).withColumn("h2", F.xxhash64("t")), (F.col("q") == F.col("k")) & (F.col("h") == F.col("h2"))).collect()} == {base + "Then 7 came", base}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
@@ -298,17 +325,20 @@ def test_only_the_neighbour_tells(spark):
         (3, base + "by name…", "truncated"),
         (4, base + "by name.", None),
         (5, base + "by name often and loudly.", None),
-        (6, base + "so. « Il est tard. »", None),
+        (6, base + "so. « Il est tard. »", "truncated"),
         (7, base + "so. « Il est tard. » Then all went home.", None),
         (8, base + "off “the Tern”", None),
         (9, base + "up from the sea…", None),
         (10, base + "« le Cormoran »", "truncated"),
         (11, base + "« le Cormoran » at last.", None),
+        (12, base + "home at noon.", "truncated"),
+        (13, base + "home at noon. Nobody saw them again.", None),
     ]
-    df = spark.createDataFrame([(i, "Nothing of this.", t, "t") for i, t, _ in rows], "line_no long, clean string, sloppy string, teacher string")
+    other = [(20, "Another prompt.", base + "home at noon.", None), (21, None, base + "so. « Il est tard. »", None)]
+    df = spark.createDataFrame([(i, "Nothing of this.", t, "t") for i, t, _ in rows] + [(i, p, t, "t") for i, p, t, _ in other], "line_no long, clean string, sloppy string, teacher string")
     for parts in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        assert {(r.key, r.defect) for r in defects.pair_defects(df).collect()} == {(i, k) for i, _, k in rows}
+        assert {(r.key, r.defect) for r in defects.pair_defects(df).collect()} == {(r[0], r[-1]) for r in [*rows, *other]}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 

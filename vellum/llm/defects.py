@@ -3,12 +3,12 @@
 Kinds, the first that applies: ``empty`` (no sentence at all), ``refusal`` (a short text that declines, or one most of
 whose sentences decline or talk about the task), ``copy`` (most of the response's four-word runs stand in the prompt's
 text), ``language`` (function words of another language prevail, or the prompt's are missing, or another script prevails),
-``truncated``. Truncation takes the length-limit spikes and endings of ``truncation``, and the responses sorted by
-stem, the text up to its last word: where the next stem goes on from the whole of a response's stem, the shorter one is
-a cut version unless a sentence clearly ends there. After a quotation mark, an abbreviation or an ellipsis the neighbour decides.
+``truncated``. Truncation takes the length-limit spikes and endings of ``truncation``, and the responses to one prompt
+sorted by text: where the next one goes on from the whole of a response, the shorter one is a cut version, whatever its
+end is.
 
-A null response is empty. A null prompt can't be copied and has no language. Repeated rows each count. Rows are sorted
-by whole stems in ranges; equal texts are compared once, so a text that many rows share doesn't slow a task.
+A null response is empty. A null prompt can't be copied and has no language. Repeated rows each count. Equal texts are
+compared once, and the sort is by ranges, so a prompt that many rows have doesn't fill a task.
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.truncation import AMBIGUOUS, EVIDENCE, MEASURES, ending, ends_as, judged
+from vellum.llm.truncation import MEASURES, ending, judged
 from vellum.llm.words import WORD, grams, word_hashes
-from vellum.shared import materialize, ship, spread
+from vellum.shared import bounded, materialize, ship, spread
 
 #: Share of a response's four-word runs that a copy has from its prompt's text.
 COPIED = 0.6
@@ -38,9 +37,7 @@ REFUSING = 0.5
 LANGUAGE_WORDS, MARGIN = 12, 0.05
 #: Share of function words from which a prompt's language is clear, and up to which the response has none of it.
 CLEAR, MISSING = 0.2, 0.05
-#: Log odds that a longer neighbour adds; after an ambiguous ending they stand in the place of the prior, which holds for texts of any kind.
-SHORTENED = 5.0
-#: Characters of a stem that a longer neighbour may go on from.
+#: Characters of a response that another one to its prompt may go on from; fewer are an opening.
 STEM = 40
 
 #: Function words by language (fixed values).
@@ -155,87 +152,74 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif other_language(p, t):
                     defect = "language"
             t = t or ""
-            raw, bare = len(t.encode("utf-8", "surrogatepass")), t.strip()
-            out.append((defect, xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63, end := ending(t, p), end in AMBIGUOUS or end == "closed" and _trails(t) and not ends_as(bare, p), len(t), len(bare), raw, len(bare.encode("utf-8", "surrogatepass"))))
-        cols = list(zip(*out, strict=True)) or [()] * 8
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["key", "source", "defect", "h", "ending", "unclear", *MEASURES])
-
-
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text of this task once, so that one that many rows share is sorted as many times as there are tasks."""
-    seen: set[int] = set()
-    for b in batches:
-        keep = []
-        for i, t in enumerate(b.column(0).to_pylist()):
-            if (h := xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) not in seen:
-                seen.add(h)
-                keep.append(i)
-        yield b.take(pa.array(keep, pa.int64()))
-
-
-def _stem(text: str) -> str:
-    """A text up to its last word: without the marks and spaces that end it or that a cut leaves there."""
-    end = len(text)
-    while end and not text[end - 1].isalnum():
-        end -= 1
-    return text[:end]
-
-
-def _trails(text: str) -> bool:
-    """Whether an ellipsis ends a text."""
-    return text.rstrip().rstrip("”\"»’'“)]}› ").endswith(("…", "..."))
+            bare = t.strip()
+            out.append((defect, ending(t, p), len(t), len(bare), len(t.encode("utf-8", "surrogatepass")), len(bare.encode("utf-8", "surrogatepass"))))
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+        made = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made[0], b.column(4), b.column(5), *made[1:]], ["key", "source", "defect", "p", "h", "ending", *MEASURES])
 
 
 def _goes_on(a: str, b: str) -> bool:
-    """Whether stem b goes on from stem a."""
-    return len(a) >= STEM and len(b) > len(a) and b.startswith(a)
-
-
-def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(0).to_pylist()
-        h = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array([_stem(t) for t in texts], pa.string()), pa.array(h, pa.int64())], ["stem", "h"])
+    """Whether text b goes on from stem a, by a word at least."""
+    return len(b) > len(a) and b.startswith(a) and any(map(str.isalnum, b[len(a) :]))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the texts whose stem the next other stem goes on from; and the partition's first and last stems, the last with its texts' hashes."""
-    first = last = None
+    """``p, h`` of the texts whose next other stem goes on from theirs; and a partition's last texts with its first one, to tie it to the next."""
+    p0 = first = stem0 = last = None
     own: set[int] = set()
     for b in batches:
-        hits: list[int] = []
-        for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        hits: list[tuple[int, int]] = []
+        for p, stem, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if last is None:
-                first = t
-            elif t != last:
-                if _goes_on(last, t):
-                    hits.extend(own)
+                p0, first = p, stem
+            elif (p, stem) != (last, stem0):
+                if p == last and _goes_on(stem0, stem):
+                    hits.extend((p, x) for x in own)
                 own = set()
-            last = t
+            last, stem0 = p, stem
             own.add(h)
-        yield pa.RecordBatch.from_arrays([pa.array([[h] for h in hits], pa.list_(pa.int64())), pa.nulls(len(hits), pa.string()), pa.nulls(len(hits), pa.string())], ["hs", "first", "last"])
+        cols = list(zip(*hits, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([[x] for x in cols[1]], pa.list_(pa.int64())), *(pa.nulls(len(hits), k) for k in (pa.string(), pa.int64(), pa.string()))], ["p", "hs", "stem", "first_p", "first"])
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([sorted(own)], pa.list_(pa.int64())), pa.array([first]), pa.array([last])], ["hs", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([sorted(own)], pa.list_(pa.int64())), pa.array([stem0]), pa.array([p0], pa.int64()), pa.array([first])], ["p", "hs", "stem", "first_p", "first"])
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of partitions' last texts those that the next partition's first goes on from."""
+    for b in batches:
+        keep = [i for i, (p, s, q, t) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)) if q == p and t is not None and _goes_on(s, t)]
+        yield b.take(pa.array(keep, pa.int64())).select(["p", "hs"])
+
 
+def shortened(df: DataFrame, prompt: str, text: str) -> DataFrame:
+    """``p, h``: hashes of the prompt and the text of each response that another response to the prompt goes on from.
 
-def shortened(df: DataFrame, text: str) -> DataFrame:
-    """``h``: hashes of the texts that are a cut version of one that follows in the order of stems. One row a partition ties them together."""
+    A response's stem is its text without the space, ellipsis and broken characters that a cut may leave. Only responses
+    whose first ``STEM`` characters another one to their prompt has are sorted, by prompt and whole stem; what goes on from
+    a stem follows it there. Shorter stems are openings, not shortened texts. One row a partition ties the ranges together.
+    """
     ship(df.sparkSession)
-    texts = df.select(F.col(text).cast("string").alias("text")).where("text is not null")
-    stems = texts.mapInArrow(_once, "text string").mapInArrow(_stems, "stem string, h long")
-    found = materialize(stems.repartitionByRange("stem").sortWithinPartitions("stem").mapInArrow(_neighbours, "hs array<long>, first string, last string"))
+    stem = F.regexp_replace(F.col(text).cast("string"), r"(?U)(?:\s|…|\uFFFD|\\|\.{3})+\z", "")
+    texts = df.select(F.xxhash64(F.col(prompt).cast("string")).alias("p"), stem.alias("stem"), F.xxhash64(F.col(text).cast("string")).alias("h")).where(F.length("stem") >= STEM).withColumn("o", F.xxhash64(F.substring("stem", 1, STEM)))
+    openings = materialize(spread(texts).select("p", "o", "h"))
+    alike = materialize(openings.groupBy("p", "o").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("p", "o"))
+    stems = texts.join(bounded(alike), ["p", "o"], "left_semi").dropDuplicates(["p", "h"]).select("p", "stem", "h")
+    found = materialize(stems.repartitionByRange("p", "stem").sortWithinPartitions("p", "stem").mapInArrow(_neighbours, "p long, hs array<long>, stem string, first_p long, first string"))
     # As many rows as partitions.
-    edges = found.where("last is not null").select("hs", "last", F.lead("first").over(Window.orderBy("last")).alias("next"))
-    goes_on = F.udf(lambda a, b: bool(a and b and _goes_on(a, b)), "boolean")
-    return found.where("last is null").select("hs").unionByName(edges.where(goes_on("last", "next")).select("hs")).select(F.explode("hs").alias("h")).distinct()
+    w = Window.orderBy("p", "stem")
+    edges = found.where("stem is not null").select("p", "hs", "stem", F.lead("first_p").over(w).alias("first_p"), F.lead("first").over(w).alias("first"))
+    both = found.where("stem is null").select("p", "hs").unionByName(edges.mapInArrow(_tied, "p long, hs array<long>"))
+    return both.select("p", F.explode("hs").alias("h")).distinct()
 
 
 def pair_defects(df: DataFrame, key: str = "line_no", prompt: str = "clean", response: str = "sloppy", source: str = "teacher") -> DataFrame:
     """``key, source, defect``: each row of ``df`` with its kind of defect, null if it has none."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(prompt).cast("string").alias("prompt"), F.col(response).cast("string").alias("text"))
-    feats = materialize(spread(rows).mapInArrow(_rules, "key long, source string, defect string, h long, ending string, unclear boolean, " + ", ".join(f"{m} long" for m in MEASURES)))
-    cut = shortened(df, response).select("h", F.lit(SHORTENED).alias("more"))
-    told = judged(feats).join(cut, "h", "left")
-    truncated = (F.col("odds") + F.coalesce("more", F.lit(0.0)) > 0) | (F.col("unclear") & (F.col("more") + EVIDENCE["marked"] > 0))
+    hashed = rows.select("*", F.xxhash64("prompt").alias("p"), F.xxhash64("text").alias("h"))
+    feats = materialize(spread(hashed).mapInArrow(_rules, "key long, source string, defect string, p long, h long, ending string, " + ", ".join(f"{m} long" for m in MEASURES)))
+    cut = materialize(shortened(df, prompt, response))
+    told = judged(feats).join(bounded(cut.withColumn("more", F.lit(True))), ["p", "h"], "left")
+    truncated = F.col("truncated") | F.coalesce("more", F.lit(False))
     return told.select("key", "source", F.coalesce("defect", F.when(truncated, F.lit("truncated"))).alias("defect"))

@@ -1,8 +1,8 @@
 """Passages of held-out items in a corpus, by spaced seeds.
 
 A seed hashes the words of a window of ``SPAN`` words that a fixed mask keeps, so a word changed at a place the mask
-ignores leaves it as it was. Windows of the corpus are looked up among the items' seeds, first in a bit map of fixed
-size, then by a join; around each hit the overlap is extended word by word, changed words allowed. An identical run of
+ignores leaves it as it was. Windows of the corpus are looked up among the items' seeds, first in a bit map sized by
+their number, then by a join; around each hit the overlap is extended word by word, changed words allowed. An identical run of
 ``SPAN`` words or more is hit by every mask.
 
 Null and empty texts and items of fewer words than ``SPAN`` have no seeds and are in no result; items with the same words
@@ -24,8 +24,9 @@ from vellum.shared import materialize, semi, spread
 SPAN = 13
 #: Places of a window that each mask keeps.
 MASKS = tuple(tuple(i for i, x in enumerate(m) if x == "1") for m in ("1110110010111", "1101001110110", "1011011101001"))
-#: The bit map has 2 ** BITS bits, 2 MB, however many seeds there are; when it fills up, more is left to the join.
-BITS = 24
+#: The bit map has 16 bits or more for each seed, between 2 ** 16 and 2 ** 26 bits (8 MB); from 4 million seeds on it fills
+#: up (at 30 million a third of its bits are set), and more windows are left to the join.
+LEAST_BITS, MOST_BITS, SPARE = 16, 26, 16
 #: An extension ends once it has lost this much: a word that agrees counts 1, one that doesn't -PENALTY.
 PENALTY, DROP = 3, 8
 
@@ -56,14 +57,19 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cs, pa.int64()), b.column(1)], ["item", "c", "text"])
 
 
-def _lookup(bitmap):
+def map_bits(seeds: int) -> int:
+    """The size of the bit map for a number of seeds, as a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, (SPARE * seeds - 1).bit_length()))
+
+
+def _lookup(bitmap, power: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
         for whole in batches:
             for b in slices(whole, "text", 4_000_000):
                 h, bounds = word_hashes(b.column(1).to_pylist())
                 seed, owner = _seeds(h, bounds)
-                place = seed >> np.uint64(64 - BITS)
+                place = seed >> np.uint64(64 - power)
                 hit = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
                 pairs = np.unique(np.stack([owner[hit].astype(np.int64), seed[hit].view(np.int64)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], ["doc", "seed"])
@@ -124,14 +130,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
     of = items.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
     names = materialize(of.mapInArrow(_named, "item long, c long, text string").where("c is not null"))
     seeds = materialize(names.groupBy("c").agg(F.min("text").alias("text")).select("c", "text").mapInArrow(_item_seeds, "seed long, c long").distinct())
-    place = f"shiftrightunsigned(seed, {64 - BITS})"
-    filled = seeds.selectExpr(f"cast(shiftright({place}, 6) as int) as w", f"shiftleft(1L, cast({place} & 63 as int)) as v").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).collect()
-    bitmap = np.zeros(1 << (BITS - 6), np.int64)
-    for r in filled:  # at most 2 ** (BITS - 6) words, however many seeds
-        bitmap[r.w] = r.v
+    power = map_bits(seeds.count())
+    place = f"shiftrightunsigned(seed, {64 - power})"
+    filled = seeds.selectExpr(f"cast(shiftright({place}, 6) as int) as w", f"shiftleft(1L, cast({place} & 63 as int)) as v").groupBy("w").agg(F.expr("bit_or(v)").alias("v")).toArrow()  # at most 2 ** (MOST_BITS - 6) words, 12 MB, however many seeds
+    bitmap = np.zeros(1 << (power - 6), np.int64)
+    bitmap[filled["w"].to_numpy()] = filled["v"].to_numpy()
     shipped = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
     rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null and text is not null")
-    hits = spread(rows).mapInArrow(_lookup(shipped), "doc long, seed long")
+    hits = spread(rows).mapInArrow(_lookup(shipped, power), "doc long, seed long")
     pairs = materialize(hits.join(seeds, "seed").select("doc", "c").distinct())
     texts = semi(rows, pairs, "doc")
     item_texts = names.groupBy("c").agg(F.min("text").alias("item_text"))

@@ -43,17 +43,16 @@ def cohesion(text: str, cuts: list[int]) -> np.ndarray:
 
 
 def depths(similarity: np.ndarray) -> np.ndarray:
-    """How far each value lies below the peaks it climbs to on the left and on the right."""
-    n, out = len(similarity), np.zeros(len(similarity))
-    for step in (1, -1):
-        peak = 0.0
-        order = range(n) if step == 1 else range(n - 1, -1, -1)
-        last = None
-        for i in order:
-            peak = similarity[i] if last is None or similarity[i] >= last and similarity[i] >= peak else max(peak, similarity[i])
-            out[i] += peak - similarity[i]
-            last = similarity[i]
-    return out
+    """How far each value lies below the peaks it climbs to on the left and on the right, without going down on the way."""
+    n = len(similarity)
+    left, right = similarity.astype(float), similarity.astype(float)
+    for i in range(1, n):
+        if similarity[i - 1] >= similarity[i]:
+            left[i] = left[i - 1]
+    for i in range(n - 2, -1, -1):
+        if similarity[i + 1] >= similarity[i]:
+            right[i] = right[i + 1]
+    return left + right - 2 * similarity
 
 
 def _boundaries(text: str, lo: int, hi: int) -> list[int]:

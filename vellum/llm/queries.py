@@ -161,7 +161,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("item_id").agg(F.count("*").alias("documents"), F.sum(F.when(F.col("exact_words") >= SPAN, 1).otherwise(0)).alias("exact_documents"), F.max("overlap_words").alias("longest_overlap"))
 
 
-def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return shared_spans(table(spark, d, "documents"))
 
 

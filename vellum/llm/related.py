@@ -161,14 +161,26 @@ def across(excerpts: DataFrame, pairs: DataFrame) -> DataFrame:
     return seen.join(bases, "id").select(_node("source", F.col("source")).alias("a"), _node("base", F.col("id")).alias("b"))
 
 
+def unsourced(excerpts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Excerpts in rows without a source: their ties to the sources that other rows give them and to their pairs, and their keys."""
+    of = excerpts.select(F.col("source").cast("string").alias("source"), F.col("id").cast("string").alias("id")).where("id is not null")
+    loose = of.where("source is null").select("id").distinct()
+    node = _node("excerpt", F.col("id"))
+    given = of.where("source is not null").join(loose, "id", "left_semi").distinct().select(_node("source", F.col("source")).alias("a"), node.alias("b"))
+    paired = loose.select(node.alias("a"), _node("base", F.lower("id")).alias("b"))
+    return given.unionByName(paired), loose.select(F.lit("excerpt").alias("kind"), F.col("id").alias("key"), node.alias("node"))
+
+
 def related(excerpts: DataFrame, pairs: DataFrame, together: bool = False) -> DataFrame:
     """``kind, key, root``: each source and each pair id with its component; a key without ties is its own.
 
-    With ``together`` a pair also belongs with the sources of its excerpt.
+    With ``together`` a pair also belongs with the sources of its excerpt, and an excerpt that rows without a source hold
+    is a key of its own kind.
     """
     edges, keys = ties(excerpts, pairs)
     if together:
-        edges = edges.unionByName(across(excerpts, pairs))
+        more, loose = unsourced(excerpts)
+        edges, keys = edges.unionByName(across(excerpts, pairs)).unionByName(more), keys.unionByName(loose)
     labels, _ = forest(edges)
     return keys.join(labels, "node", "left").select("kind", "key", F.coalesce("root", "node").alias("root"))
 
@@ -223,11 +235,15 @@ def deal(sizes: DataFrame, shares: dict[str, float], seed: int = 42) -> DataFram
 def related_splits(excerpts: DataFrame, pairs: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
     """``kind, key, split``: each source and pair id with the split of its component, sizes counted in rows.
 
-    A pair goes where the source of its excerpt goes, or its text would stand in two splits.
+    A pair goes where the source of its excerpt goes, or its text would stand in two splits. Rows without a source go by
+    their excerpt's id (kind 'excerpt'). Rows without either, and pairs without an id, are tied to nothing: their null key
+    gets the largest share.
     """
+    shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     roots = materialize(related(excerpts, pairs, together=True))
     rows = excerpts.groupBy(F.col("source").cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit("source").alias("kind"), "key", "n")
     rows = rows.unionByName(pairs.groupBy(F.col("id").cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit("pair").alias("kind"), "key", "n"))
+    rows = rows.unionByName(excerpts.where("source is null").groupBy(F.col("id").cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit("excerpt").alias("kind"), "key", "n"))
     sizes = roots.join(rows, ["kind", "key"]).groupBy("root").agg(F.sum("n").alias("n"))
-    dealt = deal(sizes, shares or {"train": 0.8, "validation": 0.1, "test": 0.1})
-    return roots.join(dealt, "root").select("kind", "key", "split")
+    keyless = rows.where("key is null and kind <> 'source'").select("kind", "key", F.lit(max(shares, key=lambda k: shares[k])).alias("split"))
+    return roots.join(deal(sizes, shares), "root").select("kind", "key", "split").unionByName(keyless)

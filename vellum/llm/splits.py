@@ -1,15 +1,15 @@
 """Records that stand in an evaluation split and, exactly or nearly, in the training split.
 
-Each text is fingerprinted by winnowing: of every ``WINDOW`` consecutive runs of ``GRAM`` words the one with the least
-hash is kept, so that two texts that share ``GRAM + WINDOW - 1`` = 8 words in a row share a fingerprint. A pair of texts
-of more than 42 words with a three-word similarity of 0.6 must share such a run: were each shared run of 7 words or
-less, m runs would share 5m shingles at most and break 4(m - 1) at least, which is below 0.6 for more than 6 runs.
-Shorter texts are joined on all their three-word runs, of which they have 40 at most; what is similar to them has 67
-distinct ones at most, however long it is through repetition, and has them all as seeds, too. By the same count such a pair shares at least
-(s / 6 - 5) / 3 fingerprints for s = 0.375 times both texts' shingles, and two short texts s three-word runs; so much is
-asked for before the texts are fetched, of texts of which a quarter repeats itself only one. (In the test tables pairs
-from 0.6 share 8 times that and more.) Then the seeds of a pair are chained, extended word by word, and its similarity
-is computed exactly.
+A text's fingerprints are minima of its rolling hashes of ``SHINGLE`` words: the texts' distinct runs are put in one
+order, those that few texts have first (by the count of the run's hash bucket over all texts, then by the hash), and a
+text keeps its first ``n - ceil(s n) + 1`` of n for a threshold s. Two texts of similarity s share ``s / (1 + s)`` of both
+texts' runs, at least ``ceil(s n)`` of either's, so some of those that both keep are the same: no pair is lost, however
+short, long or repetitive a text is. By the same count they share ``s / (1 + s)`` of both less what the one that drops
+more has dropped; so much is asked for before texts are fetched. A passage that many texts have comes last in the order
+and is no fingerprint of a text that has enough of its own. (Minima of windows can't promise that: short runs between
+changed words, or runs that repeat, leave windows without a common minimum.) The fingerprints are joined across splits;
+then the winnowed seeds of a pair, one of every ``WINDOW`` consecutive runs, are chained and extended word by word, and
+the similarity is computed exactly.
 
 Null texts and rows without a split are left out. Texts without a shingle are a case only if equal as strings. Copies
 within a task are fingerprinted once; equal texts meet by their class. Empty tables give empty results.
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -29,59 +28,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.near import jaccard
-from vellum.llm.words import content, grams, lists, mix, slices, winnow, word_hashes, words
+from vellum.llm.words import content, grams, lists, slices, winnow, word_hashes, words
 from vellum.shared import anti, bounded, materialize, semi, spread
 
-GRAM, WINDOW, SHINGLE = 6, 3, 3
+WINDOW, SHINGLE = 3, 3
 THRESHOLD = 0.6
-#: Up to SHORT words, or FEW distinct shingles, all three-word runs are seeds; above LONG words the winnowed ones are. Texts between have both.
-SHORT, LONG = 80, 42
-FEW = ceil((LONG - SHINGLE + 1) / THRESHOLD)
+#: Buckets in which runs are counted to order them: one number each is sent to the driver and to every task, 1 MB.
+BUCKETS = 1 << 17
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[tuple[bool, int]] = set()
-    node = TaskContext.get().partitionId() << 32  # names a text by few bytes that aren't zero, so rows of seeds pack well
+def _bucket(g: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(64 - 17)).astype(np.int64)
+
+
+def _class(h: np.ndarray, text: str) -> int:
+    """A text's class: its words, or the text itself if it has no shingle."""
+    return content(h) if len(h) >= SHINGLE else int(np.int64(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=1))))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many different texts of a task have a run of each bucket."""
+    seen: set[int] = set()
+    total = np.zeros(BUCKETS, np.int64)
     for whole in batches:
         for b in slices(whole, "text"):
-            sides, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
+            texts = b.column(2).to_pylist()
             h, ends = word_hashes(texts)
-            g3, g6 = grams(h, SHINGLE), grams(h, GRAM)
-            cs, ns, flat, bounds, nulls = [], [], [], [0], []
-            for i, (side, text) in enumerate(zip(sides, texts, strict=True)):
-                lo, hi = ends[i], ends[i + 1]
-                shingles = np.unique(g3[lo : hi - SHINGLE + 1]) if hi - lo >= SHINGLE else np.empty(0, np.uint64)
-                c = content(h[lo:hi]) if len(shingles) else int(np.int64(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=1))))
-                cs.append(c)
-                repeats = 4 * len(shingles) < 3 * (hi - lo - SHINGLE + 1)
-                short = hi - lo <= SHORT or len(shingles) <= FEW
-                ns.append(4 * len(shingles) + 2 * int(short) + int(repeats))
-                key = (side == "train", c)
-                nulls.append(key in seen or not len(shingles))
-                if not nulls[-1]:
-                    seen.add(key)
-                    part = []
-                    if short:
-                        part.append(mix(shingles))
-                    if hi - lo > LONG:
-                        own = g6[lo : hi - GRAM + 1]
-                        part.append(np.unique(own[winnow(own, WINDOW)]))
-                    flat.extend(part)
-                    bounds.append(bounds[-1] + sum(map(len, part)))
-                else:
-                    bounds.append(bounds[-1])
-            seeds = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
-            nodes = pa.array(range(node, node + b.num_rows), pa.int64())
-            node += b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), lists(seeds, bounds, pa.int64(), nulls)], ["side", "line", "node", "c", "n", "seeds"])
+            g = grams(h, SHINGLE)
+            for i, text in enumerate(texts):
+                own = h[ends[i] : ends[i + 1]]
+                if len(own) >= SHINGLE and (c := _class(own, text)) not in seen:
+                    seen.add(c)
+                    total += np.bincount(_bucket(np.unique(g[ends[i] : ends[i + 1] - SHINGLE + 1])), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32), pa.int32()), pa.array(total[at])], ["bucket", "n"])
+
+
+def dropped(n: int, threshold: float) -> int:
+    """How many of a text's ``n`` distinct runs are no fingerprints."""
+    return max(0, int(np.ceil(threshold * n - 1e-9)) - 1)
+
+
+def _fingerprints(counts, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(counts.value, np.int64)
+        seen: set[tuple[bool, int]] = set()
+        node = TaskContext.get().partitionId() << 32  # names a text by few bytes that aren't zero, so rows of seeds pack well
+        for whole in batches:
+            for b in slices(whole, "text"):
+                sides, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
+                h, ends = word_hashes(texts)
+                g = grams(h, SHINGLE)
+                cs, ns, flat, bounds, nulls = [], [], [], [0], []
+                for i, (side, text) in enumerate(zip(sides, texts, strict=True)):
+                    own = h[ends[i] : ends[i + 1]]
+                    runs = np.unique(g[ends[i] : ends[i + 1] - SHINGLE + 1]) if len(own) >= SHINGLE else np.empty(0, np.uint64)
+                    cs.append(c := _class(own, text))
+                    ns.append(len(runs))
+                    key = (side == "train", c)
+                    nulls.append(key in seen or not len(runs))
+                    if not nulls[-1]:
+                        seen.add(key)
+                        order = np.lexsort((runs, often[_bucket(runs)]))
+                        flat.append(np.sort(runs[order[: len(runs) - dropped(len(runs), threshold)]]))
+                        bounds.append(bounds[-1] + len(flat[-1]))
+                    else:
+                        bounds.append(bounds[-1])
+                seeds = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
+                nodes = pa.array(range(node, node + b.num_rows), pa.int64())
+                node += b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), lists(seeds, bounds, pa.int64(), nulls)], ["side", "line", "node", "c", "n", "seeds"])
+
+    return run
 
 
 def chain(a: list[str], b: list[str]) -> tuple[float, float]:
-    """Share of each word list that collinear seeds, extended while the words agree, cover in the other."""
+    """Share of each word list that collinear winnowed seeds, extended while the words agree, cover in the other."""
     place: dict[tuple[str, ...], int] = {}
     for j in range(len(b) - SHINGLE + 1):
         place.setdefault(tuple(b[j : j + SHINGLE]), j)
-    hits = [(i, place[t]) for i in range(len(a) - SHINGLE + 1) if (t := tuple(a[i : i + SHINGLE])) in place]
+    h, _ = word_hashes([" ".join(a)])
+    seeds_at = winnow(grams(h, SHINGLE), WINDOW).tolist() if len(h) == len(a) else range(len(a) - SHINGLE + 1)
+    hits = [(i, place[t]) for i in seeds_at if (t := tuple(a[i : i + SHINGLE])) in place]
     tails, at, back = [], [], [-1] * len(hits)
     for k, (_, j) in enumerate(hits):  # the longest chain that rises in both texts
         x = bisect_left(tails, j)
@@ -144,12 +172,15 @@ def cross_split(evals: DataFrame, train: DataFrame, threshold: float = THRESHOLD
     """Overlaps of ``evals(split, line, text)`` with ``train(line, text)``; lines are unique within a split.
 
     Returns ``split, eval_line, train_line, similarity, covered, covers``: the share of the evaluation text's words that
-    the chain of seeds covers, and of the training text's. Thresholds below 0.6 are refused: the seeds promise no less.
+    the chain of seeds covers, and of the training text's.
     """
-    if threshold < THRESHOLD:
-        raise ValueError(f"winnowing finds every pair from a similarity of {THRESHOLD}")
     rows = evals.select(F.concat(F.lit("eval:"), "split").alias("side"), F.col("line").cast("long"), F.col("text").cast("string")).unionByName(train.select(F.lit("train").alias("side"), F.col("line").cast("long"), F.col("text").cast("string"))).where("side is not null and text is not null and line is not null")
-    prints = materialize(spread(rows).mapInArrow(_fingerprints, "side string, line long, node long, c long, n int, seeds array<long>"))
+    rows = spread(rows)
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in rows.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # BUCKETS rows at most
+        counts[r.bucket] = r.n
+    shipped = rows.sparkSession.sparkContext.broadcast(counts.tobytes())
+    prints = materialize(rows.mapInArrow(_fingerprints(shipped, threshold), "side string, line long, node long, c long, n int, seeds array<long>"))
     is_train = F.col("side") == "train"
     # Of equal texts that several tasks have fingerprinted, one stays; the list of the others is short.
     named = prints.where("seeds is not null").select(is_train.alias("train"), "c", "node")
@@ -157,12 +188,9 @@ def cross_split(evals: DataFrame, train: DataFrame, threshold: float = THRESHOLD
     more = materialize(named.join(first, ["train", "c"]).where("node > first").select("node"))
     fresh = anti(prints.where("seeds is not null"), more, "node")
     e, t = (fresh.where(x).select(F.explode("seeds").alias("seed"), F.col("node").alias(k), F.col("n").alias(f"n{k}")) for x, k in ((~is_train, "e"), (is_train, "t")))
-    both = F.shiftright("ne", 2) + F.shiftright("nt", 2)
-    bit = lambda b: (F.col("ne").bitwiseAND(b) > 0, F.col("nt").bitwiseAND(b) > 0)
-    (short_e, short_t), (repeats_e, repeats_t) = bit(2), bit(1)
-    winnowed = F.greatest(F.lit(1), F.ceil((0.375 * both / 6 - 5) / 3 - 1e-9))
-    least = F.when(repeats_e | repeats_t, 1).when(short_e & short_t, F.ceil(0.375 * both - 1e-9)).otherwise(winnowed)
-    near = F.least("ne", "nt") + 3 >= threshold * F.greatest("ne", "nt")
+    drop = F.ceil(threshold * F.greatest("ne", "nt") - 1e-9) - 1
+    least = F.greatest(F.lit(1), F.ceil(threshold / (1 + threshold) * (F.col("ne") + F.col("nt")) - 1e-9) - F.greatest(F.lit(0), drop))
+    near = F.least("ne", "nt") >= threshold * F.greatest("ne", "nt") - 1e-9
     likely = e.join(t, "seed").where(near).groupBy("e", "t", "ne", "nt").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("e", "t")
     of = [fresh.where(x).select(F.col("node").alias(k), F.col("c").alias(f"c{k}")) for x, k in ((~is_train, "e"), (is_train, "t"))]
     pairs = materialize(likely.join(of[0], "e").join(of[1], "t").where("ce <> ct").select(F.col("ce").alias("e"), F.col("ct").alias("t")).distinct())
