@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.sources import files
@@ -38,6 +39,24 @@ def test_keyed_json(spark, tmp_path):
     assert json.loads(rows["a"])["outline"]["setting"] == "x" and rows["b"] == '"text"'
 
 
+def test_keyed_json_loses_nothing(spark, tmp_path):
+    rows = spark.range(60_000).select(F.concat(F.lit('k"'), F.lpad("id", 7, "0")).alias("id"), F.to_json(F.struct(F.repeat(F.lit("xé"), 500).alias("t"))).alias("entry"))
+    files.write_keyed_json(rows, str(tmp_path / "big"))
+    read = files.read_keyed_json(spark, str(tmp_path / "big"))
+    assert read.agg(F.count("*"), F.min("id"), F.sum(F.length(F.try_variant_get("entry", "$.t", "string")))).first()[:] == (60_000, 'k"0000000', 60_000_000)
+    for i, bad in enumerate(('{"a": 1, "b"', '[1]', '{"a": 1} x', '{"a": 1,}', "")):
+        (tmp_path / f"{i}.json").write_text(bad)
+        with pytest.raises(Exception, match="keyed file|Expecting|MALFORMED"):
+            files.read_keyed_json(spark, str(tmp_path / f"{i}.json")).collect()
+    assert list(files.entries(' {"a": {"b": [1, "}"]}, "c":2 } ')) == [("a", '{"b": [1, "}"]}'), ("c", "2")] and not list(files.entries("{}"))
+
+
+def test_files_of_rows(spark, tmp_path):
+    df = spark.createDataFrame([("a.txt", "x\r\ny"), ("b.txt", None), ("c.txt", "é")], "name string, text string")
+    assert files.write_files(df, str(tmp_path / "f")) == 3 == files.write_files(df, (tmp_path / "f").as_uri())
+    assert {(r.path[-5:], r.text) for r in files.read_books(spark, str(tmp_path / "f")).collect()} == {("a.txt", "x\ny"), ("c.txt", "é")}
+
+
 def test_append_only_what_is_new(spark, tmp_path):
     path = str(tmp_path / "out")
     rows = lambda *ids: spark.createDataFrame([(i, "c", "s", "t") for i in ids], files.PAIR)
@@ -47,10 +66,10 @@ def test_append_only_what_is_new(spark, tmp_path):
     assert sorted(r.id for r in files.read_jsonl(spark, path, files.PAIR).collect()) == ["a", "b", "c", "d"]
 
 
-def test_existing(tmp_path):
+def test_existing(spark, tmp_path):
     (tmp_path / "a").touch()
     paths = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}
-    assert list(files.existing(paths)) == ["a"] and files.existing(paths, ["b"]) == {}
+    assert list(files.existing(spark, paths)) == ["a"] and files.existing(spark, paths, ["b"]) == {}
 
 
 def test_reports_lines_and_numbers(spark, tmp_path):

@@ -22,7 +22,7 @@ def for_teachers(excerpts: DataFrame, teachers: list[str]) -> DataFrame:
 
 def not_yet(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """The rows of ``todo`` whose key isn't among ``done``'s. Null keys are kept."""
-    return todo.join(done.select(key).distinct(), key, "left_anti")
+    return todo.join(done.select(key), key, "left_anti")
 
 
 def long_enough(df: DataFrame, text: str, least: int = fixed.MIN_DRAFT_WORDS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions import fixed, hooks
 from vellum.functions.metrics import burstiness, share_kept, share_new, slop_score
 from vellum.functions.text import base_id, word_count
+from vellum.operators.pairs import passes
 
 METRICS = ("slop_in", "slop_out", "slop_delta", "burstiness_out", "semantic_sim", "ner_preservation", "hallucination_rate", "sem_vs_target")
 
@@ -73,8 +74,25 @@ def second_gate(now: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def style_gate(now: DataFrame, base: DataFrame) -> DataFrame:
-    """The style-conditioned model against the one before."""
-    return _at_least(now, base, {"slop_delta": 0.05, "ner_preservation": 0.02, "sem_vs_target": 0.02})
+    """The style-conditioned model against the one before.
+
+    Where ``now`` has them: ``style_similarity_conditioned`` must be above ``style_similarity_unconditioned``, and
+    ``unconditioned_sem_vs_target`` (else ``sem_vs_target``) no more than 0.02 below the base's ``sem_vs_target``.
+    """
+    rows = _at_least(now, base, {"slop_delta": 0.05, "ner_preservation": 0.02, "sem_vs_target": 0.02})
+    with_, without = "style_similarity_conditioned", "style_similarity_unconditioned"
+    if with_ in now.columns and without in now.columns:
+        rows = rows.unionByName(now.select(F.lit(with_).alias("metric"), F.col(with_).alias("value"), F.col(without).alias("least"), (F.col(with_) > F.col(without)).alias("passed")))
+    if "unconditioned_sem_vs_target" in now.columns:
+        own = now.select(F.col("unconditioned_sem_vs_target").alias("sem_vs_target"))
+        rows = rows.unionByName(_at_least(own, base, {"sem_vs_target": 0.02}).withColumn("metric", F.lit("unconditioned_sem_vs_target")))
+    return rows
+
+
+def style_similarity(rows: DataFrame, conditioned: str, unconditioned: str, reference: str, embed: Callable[[Column], Column] = hooks.word_set, similar: Callable[[Column, Column], Column] = hooks.similarity) -> DataFrame:
+    """One row: how near conditioned and unconditioned edits are to their style reference on average."""
+    to = embed(F.col(reference))
+    return rows.agg(F.avg(similar(embed(F.col(conditioned)), to)).alias("style_similarity_conditioned"), F.avg(similar(embed(F.col(unconditioned)), to)).alias("style_similarity_unconditioned"))
 
 
 def adversarial(rows: DataFrame, text: str = "text", edited: str = "edited", kind: str = "bucket", tone: str = "tone") -> DataFrame:
@@ -108,16 +126,34 @@ def excerpt_checks(excerpts: DataFrame) -> DataFrame:
 
 
 def outline_checks(excerpts: DataFrame, outlines: DataFrame) -> DataFrame:
-    """One row: excerpts with an outline, their share, and outlines without events or a point of view. ``outlines(id, events, pov_state)``."""
-    both = excerpts.select("id").distinct().join(outlines.withColumn("_has", F.lit(True)), "id", "left")
+    """One row about ``outlines(id, entry)``, variants that may be wrapped in ``outline``: excerpts with one, their share,
+    outlines that lack a required key, whose characters or events aren't a list, without events, or without a point of view.
+    """
+    body = F.coalesce(F.try_variant_get("entry", "$.outline", "variant"), F.col("entry"))
+    list_ = lambda k: F.try_variant_get("_body", f"$.{k}", "array<variant>")
+    keys = F.map_keys(F.try_variant_get("_body", "$", "map<string,variant>"))
+    pov = F.try_variant_get("_body", "$.pov_state", "variant")
+    told = outlines.select("id", body.alias("_body")).select(
+        "id",
+        F.lit(True).alias("_has"),
+        (F.coalesce(F.size(F.array_except(F.array(*map(F.lit, fixed.OUTLINE_KEYS)), keys)), F.lit(1)) == 0).alias("_whole"),
+        list_("characters").isNotNull().alias("_people"),
+        F.coalesce(F.size(list_("events")), F.lit(-1)).alias("_events"),
+        F.when(F.schema_of_variant(pov) == "STRING", F.try_variant_get("_body", "$.pov_state", "string")).alias("_pov"),
+    )
+    both = excerpts.select("id").distinct().join(told, "id", "left")
     return _checks(
         both,
         {
             "excerpts": F.count("*"),
             "outlined": F.count("_has"),
             "covered": F.coalesce(F.avg(F.when(F.col("_has"), 1).otherwise(0)) >= 0.95, F.lit(False)),
-            "no_events": F.count_if(F.col("_has") & (F.coalesce(F.size("events"), F.lit(0)) < 1)),
-            "no_pov": F.count_if(F.col("_has") & (F.coalesce(F.col("pov_state"), F.lit("")) == "")),
+            "bad_schema": F.count_if(F.col("_has") & ~F.col("_whole")),
+            "schema_ok": F.coalesce(F.count_if(F.col("_has") & ~F.col("_whole")) < 0.05 * F.greatest(F.count("_has"), F.lit(1)), F.lit(False)),
+            "no_character_list": F.count_if(F.col("_has") & ~F.col("_people")),
+            "no_event_list": F.count_if(F.col("_has") & (F.col("_events") < 0)),
+            "no_events": F.count_if(F.col("_has") & (F.col("_events") < 1)),
+            "no_pov": F.count_if(F.col("_has") & ~F.coalesce(F.col("_pov").rlike(r"\S"), F.lit(False))),
         },
     )
 
@@ -141,10 +177,16 @@ def pair_checks(pairs: DataFrame) -> DataFrame:
     )
 
 
-def dataset_checks(kept: DataFrame, nulls: DataFrame, splits: DataFrame) -> DataFrame:
-    """One row of figures about kept pairs, null pairs and ``splits(base, split)``."""
-    k = kept.agg(F.count("*").alias("kept"), (F.count("*") >= 1800).alias("enough"), F.count_if((F.col("ner_overlap") < fixed.MIN_NER) | ~F.col("sem_sim").between(fixed.MIN_SEM, fixed.MAX_SEM)).alias("outside_gate"))
+def dataset_checks(kept: DataFrame, nulls: DataFrame, splits: DataFrame, test: DataFrame, records: DataFrame) -> DataFrame:
+    """One row of figures about kept pairs, null pairs, ``splits(base, split)``, the test split's ids and training ``records(text)``.
+
+    A score that is null or NaN is outside the gate. Each record must hold the editor's prompt and the mark that opens its answer.
+    """
+    k = kept.agg(F.count("*").alias("kept"), (F.count("*") >= 1800).alias("enough"), F.count_if(~passes(F.col("ner_overlap"), F.col("sem_sim"))).alias("outside_gate"))
     n = nulls.agg(F.count("*").alias("nulls"), F.count_if(~F.col("clean").eqNullSafe(F.col("sloppy"))).alias("edited_nulls"), F.count_if(~F.coalesce(F.startswith("id", F.lit("null_")), F.lit(False))).alias("bad_null_ids"), F.count_distinct(base_id(F.col("id"))).alias("null_bases"))
     s = splits.agg(*(F.coalesce(F.avg((F.col("split") == x).cast("int")).between(0.06, 0.14), F.lit(False)).alias(f"{x}_share_ok") for x in ("val", "test")))
+    t = test.agg((F.count("id") - F.count_distinct("id")).alias("repeated_test_ids"))
+    holds = lambda x: F.coalesce(F.col("text").contains(x), F.lit(False))
+    r = records.agg(F.count("*").alias("records"), F.count_if(~holds(fixed.EDITOR_PROMPT)).alias("no_prompt"), F.count_if(~holds(fixed.ANSWER_MARK)).alias("no_boundary"))
     share = F.coalesce(F.try_divide(F.col("nulls"), F.col("kept")).between(0.08, 0.18), F.lit(False))
-    return k.crossJoin(n).crossJoin(s).withColumn("null_share_ok", share)  # one row each
+    return k.crossJoin(n).crossJoin(s).crossJoin(t).crossJoin(r).withColumn("null_share_ok", share)  # one row each

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import fixed, hooks
@@ -21,7 +22,9 @@ from vellum.operators import split as L
 from vellum.operators.nearest import nearest
 from vellum.operators.ranks import batches, placed, ranked, sample, seeded
 from vellum.operators.style import style_references
-from vellum.shared import spread, table
+from vellum.shared import materialize, shared_dir, spread, table
+from vellum.sources import files as I
+from vellum.streaming.ingest import append_once, arrivals, json_stream, parquet_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 Six = T.six
@@ -53,6 +56,12 @@ def _nulls(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "null_pairs").select("id", "clean", "sloppy", "teacher")
 
 
+def _outline_json() -> Column:
+    """An outline put together of an excerpt's entities, source and sentences."""
+    people, events = F.array_sort(hooks.entities(F.col("text"))), F.transform(T.sentences(F.col("text")), T.strip)
+    return F.to_json(F.struct(F.struct(people.alias("characters"), F.col("source").alias("setting"), events.alias("events"), F.lit("narrator").alias("pov_state")).alias("outline")))
+
+
 # Sources and text
 
 
@@ -121,6 +130,110 @@ def base_id_parse(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("id", T.base_id(F.col("id")).alias("base"), T.style_base_id(F.col("id")).alias("style_base")).agg(F.count("*").alias("n"))
 
 
+# Files
+
+
+def _place(s: SparkSession) -> str:
+    return f"{shared_dir(s)}/{uuid.uuid4().hex}"
+
+
+@query
+def files_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The first 500 documents as numbered files, and what is read back: the row cap is the source's own."""
+    rows = table(s, d, "documents").where("text <> ''").select("doc_id", "title", "text")
+    column = I.text_column(rows.drop("doc_id"))
+    capped = I.first_rows(rows.select("doc_id", F.col(column).alias("text")), fixed.PROFILE_ROWS, "doc_id")
+    I.write_files(I.numbered(capped, "doc_id"), at := _place(s))
+    read = I.in_path_order(I.read_books(s, at))
+    return read.select(T.file_name(F.col("path")).alias("name"), F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query
+def jsonl_splits(s: SparkSession, d: str) -> DataFrame:
+    """Kept pairs written as JSONL by split and read back by name."""
+    rows, paths = table(s, d, "filtered_pairs"), {}
+    for split in ("train", "val"):
+        of = rows.where(F.col("split") == split).select("id", "clean", "sloppy", "teacher", "ner_overlap", "sem_sim")
+        I.write_jsonl(of, paths.setdefault(split, _place(s)))
+        I.write_jsonl(of.limit(0), paths[split], overwrite=False)  # the guard keeps what is there
+    read = I.read_splits(s, paths, I.KEPT_PAIR)
+    return read.select("split", "id", "teacher", "ner_overlap", F.nanvl("sem_sim", F.lit(-1.0)).alias("sem_sim"), F.md5(F.concat("clean", F.coalesce("sloppy", F.lit("")))).alias("digest"))
+
+
+def _one_by_id(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "raw_pairs").where("id is not null")
+    return rows.groupBy("id").agg(F.min("clean").alias("clean"), F.min("sloppy").alias("sloppy"), F.min("teacher").alias("teacher"))
+
+
+@query
+def append_resume(s: SparkSession, d: str) -> DataFrame:
+    """Pairs appended in batches: one teacher's first, then all that aren't there yet, then none."""
+    rows, at = materialize(_one_by_id(s, d)), _place(s)
+    for todo in (rows.where("teacher = 'heron'"), rows, rows):
+        I.append_new(todo, at, "id", I.PAIR)
+    read = I.read_jsonl(s, at, I.PAIR)
+    return read.groupBy("id").agg(F.count("*").alias("n"), F.min("teacher").alias("teacher"), F.md5(F.min("clean")).alias("digest"))
+
+
+@query
+def keyed_outlines(s: SparkSession, d: str) -> DataFrame:
+    """Outlines as one keyed file, and what is read back of each."""
+    I.write_keyed_json(_excerpts(s, d).select("id", _outline_json().alias("entry")), at := _place(s))
+    e = F.col("entry")
+    return I.read_keyed_json(s, at).select("id", F.try_variant_get(e, "$.outline.setting", "string").alias("setting"), F.size(F.try_variant_get(e, "$.outline.events", "array<string>")).alias("events"))
+
+
+@query
+def report_file(s: SparkSession, d: str) -> DataFrame:
+    """The evaluation report as a JSON file, read back."""
+    r = _report(s, d)
+    I.write_report(r.select(*(Six(F.col(c)).alias(c) for c in r.columns)), at := f"{_place(s)}/report.json")
+    return s.read.schema(", ".join(f"{c} double" for c in r.columns)).option("multiLine", True).json(at)
+
+
+@query
+def phrase_lines(s: SparkSession, d: str) -> DataFrame:
+    """The ban list as lines of text, blank ones among them, and the phrases read back."""
+    phrases = slop_banlist(s, d).select("phrase")
+    I.write_lines(phrases.unionByName(s.createDataFrame([("  ",), ("",)], "phrase string")), "phrase", at := _place(s))
+    return I.read_lines(s, at).select(F.col("value").alias("phrase"))
+
+
+@query
+def existing_files(s: SparkSession, d: str) -> DataFrame:
+    """Of three named tables those that are wanted and there."""
+    names = ("documents", "raw_pairs", "no_such_table")
+    found = I.existing(s, {n: f"{d}/{n}.parquet" for n in names}, ["documents", "no_such_table"])
+    return s.createDataFrame([(n,) for n in found], "name string")
+
+
+@query
+def first_tokens(s: SparkSession, d: str) -> DataFrame:
+    """First token ids of the ban list's phrases, with UTF-8 bytes as the stand-in tokenizer's ids."""
+    phrases = [r.phrase for r in slop_banlist(s, d).select("phrase").collect()]  # 50 at most
+    return s.createDataFrame([(i,) for i in sorted(hooks.first_token_ids(lambda t: list(t.encode()), phrases))], "token int")
+
+
+@query
+def stream_append(s: SparkSession, d: str) -> DataFrame:
+    """Raw pairs as a stream of files, each id appended once, however often it arrives."""
+    I.write_jsonl(table(s, d, "raw_pairs").select("id", "clean", "sloppy", "teacher").where("id is not null"), src := _place(s))
+    out = _place(s)
+    for turn in range(2):  # the second run starts from an empty checkpoint and finds every key there
+        append_once(json_stream(s, src, I.PAIR), out, "id", f"{out}-{turn}").awaitTermination()
+    return s.read.parquet(out).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_arrivals(s: SparkSession, d: str) -> DataFrame:
+    """Raw pairs by hour of arrival and teacher, as a stream with a watermark."""
+    rows = table(s, d, "raw_pairs").where("loaded_at is not null").select("line_no", "teacher", F.col("loaded_at").cast("timestamp").alias("at"))
+    rows.write.parquet(src := _place(s))
+    name = "arrived_" + uuid.uuid4().hex
+    arrivals(parquet_stream(s, src, "line_no long, teacher string, at timestamp"), "at", "teacher").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return s.table(name).select(F.unix_timestamp("start").alias("hour"), "teacher", "n")
+
+
 # Metrics of one text
 
 
@@ -225,8 +338,7 @@ def outline_join(s: SparkSession, d: str) -> DataFrame:
 @query
 def teacher_prompts(s: SparkSession, d: str) -> DataFrame:
     """Prompts for a draft, from outlines put together as JSON."""
-    entry = F.to_json(F.struct(F.struct(F.slice(hooks.entities(F.col("text")), 1, 5).alias("characters"), F.col("source").alias("setting"), F.slice(F.transform(T.sentences(F.col("text")), T.strip), 1, 3).alias("events"), F.lit("narrator").alias("pov_state")).alias("outline")))
-    rows = _excerpts(s, d).select("id", "text", outline_text(F.parse_json(entry)).alias("outline"))
+    rows = spread(_excerpts(s, d)).select("id", "text", outline_text(F.parse_json(_outline_json())).alias("outline"))
     prompt = teacher_prompt(F.col("text"), F.col("outline"), F.lit(fixed.TEACHER_BLOCKS["llama3"]))
     return rows.select("id", F.md5("outline").alias("outline"), F.md5(prompt).alias("prompt"), F.length(outline_prompt(F.col("text"))).alias("outline_prompt_chars"))
 
@@ -304,9 +416,11 @@ def fixture_buckets(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def profile_samples(s: SparkSession, d: str) -> DataFrame:
-    """500 books' beginnings in seeded order: characters and words."""
-    head = T.head(F.col("text"), fixed.BASELINE_CHARS)
-    return sample(table(s, d, "raw_texts"), "text_id", fixed.PROFILE_ROWS).select("text_id", F.length(head).alias("n_chars"), T.word_count(head).cast("int").alias("n_words"))
+    """500 books' beginnings and 500 test drafts, each in seeded order: characters and words."""
+    head, x = T.head(F.col("text"), fixed.BASELINE_CHARS), F.col("sloppy")
+    figures = lambda t: (F.length(t).alias("n_chars"), T.word_count(t).cast("int").alias("n_words"))
+    books = sample(table(s, d, "raw_texts"), "text_id", fixed.PROFILE_ROWS).select(F.lit("people").alias("corpus"), F.col("text_id").alias("row_id"), *figures(head))
+    return books.unionByName(sample(table(s, d, "test_raw"), "line_no", fixed.PROFILE_ROWS).select(F.lit("model").alias("corpus"), F.col("line_no").alias("row_id"), *figures(x)))
 
 
 @query
@@ -346,7 +460,10 @@ def slop_profile_top(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def slop_banlist(s: SparkSession, d: str) -> DataFrame:
-    return R.banlist(_profile(s, d), least=0.05)
+    """The ban list of the stand-in teachers' drafts against people's texts."""
+    drafts = P.for_teachers(_excerpts(s, d), list(hooks.STAND_INS)).select(F.lit("model").alias("corpus"), hooks.draft(F.col("text"), F.col("teacher")).alias("text"))
+    people = table(s, d, "raw_texts").select(F.lit("people").alias("corpus"), T.head(F.col("text"), fixed.BASELINE_CHARS).alias("text"))
+    return R.banlist(R.slop_profile(R.pattern_counts(spread(drafts.unionByName(people)), "corpus", "text"), "model", "people"))
 
 
 # Reports, tiers, gates and checks
@@ -382,6 +499,8 @@ def metric_tiers(s: SparkSession, d: str) -> DataFrame:
 def regression_gates(s: SparkSession, d: str) -> DataFrame:
     """All three gates, of the edited texts against the clean ones as the base."""
     now, base = _report(s, d), _report(s, d, after="clean")
+    texts = table(s, d, "test_raw").where("sloppy is not null and clean is not null").withColumn("edited", hooks.edited(F.col("sloppy")))
+    now = now.crossJoin(Q.style_similarity(texts, "edited", "sloppy", "clean")).withColumn("unconditioned_sem_vs_target", F.col("sem_vs_target"))  # one row
     each = [g.withColumn("gate", F.lit(n)) for n, g in (("first", Q.first_gate(now)), ("second", Q.second_gate(now, base)), ("style", Q.style_gate(now, base)))]
     rows = each[0].unionByName(each[1]).unionByName(each[2])
     return rows.select("gate", "metric", Six(F.col("value")).alias("value"), Six(F.col("least")).alias("least"), "passed")
@@ -403,7 +522,10 @@ def kpi_segmentation(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def kpi_outlines(s: SparkSession, d: str) -> DataFrame:
-    out = _pairs(s, d).groupBy(T.base_id(F.col("id")).alias("id")).agg(F.min("clean").alias("c")).select("id", T.sentences(F.col("c")).alias("events"), F.get(hooks.entities(F.col("c")), 0).alias("pov_state"))
+    out = _pairs(s, d).groupBy(T.base_id(F.col("id")).alias("id")).agg(F.min("clean").alias("c"))
+    people = hooks.entities(F.col("c"))
+    entry = F.to_json(F.struct(F.struct(people.alias("characters"), F.lit("").alias("setting"), T.sentences(F.col("c")).alias("events"), F.get(people, 0).alias("pov_state")).alias("outline")))
+    out = out.select("id", F.parse_json(entry).alias("entry"))
     return Q.outline_checks(_excerpts(s, d), out)
 
 
@@ -414,8 +536,9 @@ def kpi_pairs(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def kpi_dataset(s: SparkSession, d: str) -> DataFrame:
-    splits = L.split_bases(L.all_pairs(_pairs(s, d), _nulls(s, d)))
-    return Q.dataset_checks(table(s, d, "filtered_pairs"), table(s, d, "null_pairs"), splits)
+    rows = L.all_pairs(_pairs(s, d), _nulls(s, d))
+    records = rows.select(chat_text(messages(F.col("sloppy"), F.col("clean"))).alias("text"))
+    return Q.dataset_checks(table(s, d, "filtered_pairs"), table(s, d, "null_pairs"), L.split_bases(rows), table(s, d, "test_raw"), records)
 
 
 # Grouping and sets

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from vellum.functions import fixed
 from vellum.functions.hooks import STAND_INS
 from vellum.functions.text import SPACE
@@ -192,12 +194,32 @@ def _gates() -> str:
         for g, ms in (("second", {"slop_delta": 0.0, "ner_preservation": 0.02, "burstiness_improved_rate": 0.05, "sem_vs_target": 0.02}), ("style", {"slop_delta": 0.05, "ner_preservation": 0.02, "sem_vs_target": 0.02}))
         for m, s in ms.items()
     ]
-    return f"WITH {now}, {then} " + " UNION ALL ".join([*first, *rest])
+    style = [
+        f"SELECT 'style', 'style_similarity_conditioned', {six('c')}, {six('u')}, c > u FROM (SELECT avg({similar('aw', 'tw')}) AS c, avg({similar('bw', 'tw')}) AS u FROM ev1)",
+        f"SELECT 'style', 'unconditioned_sem_vs_target', {six('rep.sem_vs_target')}, {six('bas.sem_vs_target - 0.02::DOUBLE')}, rep.sem_vs_target >= bas.sem_vs_target - 0.02::DOUBLE FROM rep, bas",
+    ]
+    return f"WITH {now}, {then} " + " UNION ALL ".join([*first, *rest, *style])
 
 
 _K = fixed.STYLE_REFERENCES
 _DRAFT = "CASE teacher " + " ".join(f"WHEN '{k}' THEN {_q(a)} || replace(text, {_q(w)}, {_q(m)}) || {_q(e)}" for k, (a, w, m, e) in STAND_INS.items()) + " END"
 
+_TEACHERS = "(VALUES " + ", ".join(f"('{k}')" for k in STAND_INS) + ") t(teacher)"
+_BANS = (
+    f"WITH {_EXCERPTS}, "
+    + _CORPORA.replace("sloppy AS text FROM raw_pairs WHERE sloppy IS NOT NULL", f"{_DRAFT} AS text FROM ex, {_TEACHERS}")
+    + rf", bans AS (SELECT replace(pattern, '\b', '') AS phrase, delta FROM (SELECT * FROM prof ORDER BY delta DESC, place LIMIT {fixed.BANLIST_ROWS}) WHERE delta > {fixed.BANLIST_DELTA})"
+)
+_OUTLINE = f"""'CHARACTERS:' || chr(10) || CASE WHEN len({entities("text")}) = 0 THEN '  (none named)' ELSE array_to_string(list_transform(list_sort({entities("text")}), lambda x: '  - ' || x), chr(10)) END
+  || chr(10) || 'SETTING: ' || coalesce(source, '') || chr(10) || 'EVENTS (in order):' || chr(10) || array_to_string(list_transform({sentences("text")}, lambda x, i: '  ' || i || '. ' || {strip("x")}), chr(10)) || chr(10) || 'POV STATE: narrator'"""
+
+
+def _filled(template: str, **values: str) -> str:
+    """A template's text as SQL, with its places filled."""
+    parts = re.split(r"(?<!{){(" + "|".join(values) + r")}(?!})", template)
+    return " || ".join(f"({values[x]})" if i % 2 else _q(x.replace("{{", "{").replace("}}", "}")) for i, x in enumerate(parts))
+
+
 SQL: dict[str, str] = {
     "excerpts_by_source": f"{_FIRST} SELECT source, count(*) AS excerpts, sum(word_count)::BIGINT AS words, {six('avg(word_count)')} AS mean_words FROM firsts GROUP BY source",
     "segment_books": f"{_BOOKS} SELECT id, source, path, pos, word_count, length(text)::INT AS n_chars FROM seg",
@@ -205,7 +227,7 @@ SQL: dict[str, str] = {
     "excerpt_dedup": f"{_FIRST} SELECT id, source, path, pos, word_count FROM firsts",
     "strip_boilerplate": f"SELECT text_id, length(text)::INT AS before, length({clean('text')})::INT AS after FROM raw_texts",
     "path_names": "SELECT list_last(string_split(path, '/')) AS name, count(*) AS n, count(DISTINCT site) AS sites, min(path) AS first_path FROM raw_texts GROUP BY 1",
-    "paths_in_order": "SELECT path, text_id FROM raw_texts ORDER BY string_split(path, '/'), text_id LIMIT 20",
+    "paths_in_order": "SELECT path, text_id, row_number() OVER (ORDER BY string_split(path, '/') NULLS LAST, text_id) AS place FROM raw_texts",
     "printable_filter": f"SELECT line_no, {six('r')} AS ratio, r >= 0.9::DOUBLE AS keep FROM (SELECT line_no, CASE WHEN text IS NOT NULL THEN {ratio('text')} END AS r FROM raw_excerpts)",
     "word_counts": f"SELECT line_no, word_count AS stored, {words('text')}::INT AS counted, word_count IS DISTINCT FROM {words('text')}::INT AS stale FROM raw_excerpts",
     "content_ids": "SELECT substring(md5(text), 1, 12) AS content_id, count(*) AS n, min(id) AS first_id FROM raw_excerpts WHERE text IS NOT NULL GROUP BY 1",
@@ -215,7 +237,7 @@ SQL: dict[str, str] = {
     "style_vectors": f"SELECT line_no, {', '.join(f'{six("v." + f)} AS {f}' for f in ('mean_length', 'deviation', 'commas', 'quotes', 'adverbs'))} FROM (SELECT line_no, {vector('text')} AS v FROM raw_excerpts WHERE text IS NOT NULL)",
     "style_distances": f"SELECT line_no, {six(apart('b', 'r'))} AS draft_distance, {six(apart('e', 'r'))} AS edited_distance, {apart('e', 'r')} < {apart('b', 'r')} AS closer FROM (SELECT line_no, {vector('clean')} AS r, {vector('sloppy')} AS b, {vector(edited('sloppy'))} AS e FROM raw_pairs WHERE sloppy IS NOT NULL)",
     "entity_overlap_heuristic": f"{_ENTS} SELECT line_no, len(a)::INT AS entities, {six(kept('a', 'b'))} AS kept, {six(new('a', 'b'))} AS made_up FROM e",
-    "cosine_search": f"""WITH s AS (SELECT q.vec_id AS asked_id, e.vec_id, {six("list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])")} AS cosine FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)
+    "cosine_search": f"""WITH s AS (SELECT q.vec_id AS asked_id, e.vec_id, {six("list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])")} AS cosine FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)
 SELECT asked_id, vec_id, cosine, row_number() OVER (PARTITION BY asked_id ORDER BY cosine DESC, vec_id)::INT AS place FROM s QUALIFY place <= 5""",
     "pair_filter_gate": f"{_ENTS}, m AS (SELECT line_no, {kept('a', 'b')} AS n, {similar('c', 's')} AS m FROM e) SELECT line_no, {six('n')} AS ner, {six('m')} AS sem, n >= 0.9::DOUBLE AND m BETWEEN 0.8::DOUBLE AND 0.97::DOUBLE AS keep FROM m",
     "stored_gate": f"SELECT split, {_GATE} AS keep, count(*) AS n, count(*) FILTER (sem_sim::VARCHAR = 'nan') AS nan_sem FROM filtered_pairs GROUP BY ALL",
@@ -242,12 +264,27 @@ SELECT pair_id, source, refs, md5(r) AS reference, length({_chat("sloppy", "clea
     "fixture_buckets": f"""SELECT line_no, r AS rank, CASE WHEN r < 30 THEN 'clean' WHEN r < 60 THEN 'voice' ELSE 'tone' END AS bucket, CASE WHEN r >= 30 THEN id END AS _source,
   CASE WHEN r >= 60 THEN {_q(fixed.TONE_TODO)} WHEN r >= 30 THEN {_q(fixed.VOICE_TODO)} END AS _todo, CASE WHEN r >= 60 THEN 'FILL_IN' END AS tone
 FROM (SELECT line_no, id, row_number() OVER (ORDER BY {seeded("line_no")}) - 1 AS r FROM test_raw) WHERE r < 90""",
-    "profile_samples": f"SELECT text_id, length(x)::INT AS n_chars, {words('x')}::INT AS n_words FROM (SELECT text_id, substring(text, 1, 3000) AS x FROM raw_texts QUALIFY row_number() OVER (ORDER BY {seeded('text_id')}) <= 500)",
+    "profile_samples": f"""SELECT corpus, row_id, length(x)::INT AS n_chars, {words("x")}::INT AS n_words FROM (
+  (SELECT 'people' AS corpus, text_id AS row_id, substring(text, 1, 3000) AS x FROM raw_texts QUALIFY row_number() OVER (ORDER BY {seeded("text_id")}) <= 500)
+  UNION ALL (SELECT 'model', line_no, sloppy FROM test_raw QUALIFY row_number() OVER (ORDER BY {seeded("line_no")}) <= 500))""",
     "excerpt_batches": f"WITH {_EXCERPTS} SELECT b AS batch, count(*) AS n, min(id) AS first_id FROM (SELECT id, ((row_number() OVER (ORDER BY {seeded('id')}) - 1) // 50)::BIGINT AS b FROM ex) GROUP BY b",
     "pattern_frequency": f"WITH {_CORPORA} SELECT corpus, pattern, hits, words, {six('f')} AS per_1k FROM fr",
     "slop_profile": f"WITH {_CORPORA} SELECT pattern, place, model_freq_per_1k, baseline_freq_per_1k, delta FROM prof",
     "slop_profile_top": f"WITH {_CORPORA} SELECT pattern, delta FROM prof ORDER BY delta DESC, place LIMIT 20",
-    "slop_banlist": rf"WITH {_CORPORA} SELECT replace(pattern, '\b', '') AS phrase, delta FROM (SELECT * FROM prof ORDER BY delta DESC, place LIMIT 50) WHERE delta > 0.05",
+    "slop_banlist": f"{_BANS} SELECT phrase, delta FROM bans",
+    "phrase_lines": f"{_BANS} SELECT trim(phrase) AS phrase FROM bans",
+    "first_tokens": f"{_BANS} SELECT ascii(phrase[1])::INT AS token FROM bans UNION SELECT 32 FROM bans",
+    "report_file": f"{_NOW} SELECT {', '.join(f'{six(m)} AS {m}' for m in (*_METRICS, 'burstiness_improved_rate'))} FROM rep",
+    "files_round_trip": rf"""WITH t AS (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE text <> '' QUALIFY i < 500)
+SELECT printf('%05d.txt', i) AS name, length(x)::INT AS n_chars, md5(x) AS digest FROM (SELECT i, regexp_replace(replace(text, chr(65533), ''), '\r\n?', chr(10), 'g') AS x FROM t)""",
+    "jsonl_splits": "SELECT split, id, teacher, ner_overlap, CASE WHEN sem_sim::VARCHAR = 'nan' THEN -1.0::DOUBLE ELSE sem_sim END AS sem_sim, md5(clean || coalesce(sloppy, '')) AS digest FROM filtered_pairs WHERE split IN ('train', 'val')",
+    "append_resume": "SELECT id, 1::BIGINT AS n, min(teacher) AS teacher, md5(min(clean)) AS digest FROM raw_pairs WHERE id IS NOT NULL GROUP BY id",
+    "keyed_outlines": f"WITH {_EXCERPTS} SELECT id, source AS setting, len({sentences('text')})::INT AS events FROM ex",
+    "existing_files": "SELECT 'documents' AS name",
+    "stream_append": "SELECT id, 1::BIGINT AS n FROM raw_pairs WHERE id IS NOT NULL GROUP BY id",
+    "stream_arrivals": "SELECT epoch(date_trunc('hour', loaded_at))::BIGINT AS hour, teacher, count(*) AS n FROM raw_pairs WHERE loaded_at IS NOT NULL GROUP BY ALL",
+    "teacher_prompts": f"""WITH {_EXCERPTS}, o AS (SELECT id, text, {_OUTLINE} AS outline FROM ex)
+SELECT id, md5(outline) AS outline, md5({_filled(fixed.TEACHER_PROMPT, outline="outline", slop_block=_q(fixed.TEACHER_BLOCKS["llama3"]), length=f"{words('text')}::VARCHAR")}) AS prompt, length({_filled(fixed.OUTLINE_PROMPT, text="text")})::INT AS outline_prompt_chars FROM o""",
     "eval_pairs": f"{_NOW} SELECT line_no, {', '.join(f'{six(m)} AS {m}' for m in _METRICS)}, burstiness_improved FROM ev",
     "eval_report": f"{_NOW} SELECT {', '.join(f'{six(m)} AS {m}' for m in (*_METRICS, 'burstiness_improved_rate'))} FROM rep",
     "metric_tiers": f"{_NOW} " + " UNION ALL ".join(_tier(m) for m in fixed.TIERS),
@@ -259,14 +296,17 @@ SELECT {six(f"coalesce(avg({similar('tw', 'ew')}) FILTER (b = 'clean'), 0)")} AS
     "kpi_segmentation": rf"""SELECT count(*) AS n_rows, count(*) >= 5000 AS enough, count(*) FILTER ({words("text")} NOT BETWEEN 280 AND 760) AS outside_size, count(id) - count(DISTINCT id) AS repeated_ids,
   count(*) FILTER (NOT coalesce(regexp_matches(id, '\A[0-9a-f]{{12}}\z'), false)) AS bad_ids, count(*) FILTER (coalesce(length(text), 0) = 0) AS empty_texts, count(*) FILTER (regexp_matches(text, '(?i)\*\*\* *(?:START|END) OF')) AS boilerplate FROM raw_excerpts""",
     "kpi_outlines": f"""WITH {_EXCERPTS}, {_PAIRS}, o0 AS (SELECT {base("id")} AS id, min(clean) AS c FROM pr GROUP BY 1), o AS (SELECT id, len({sentences("c")}) AS events, list_extract({entities("c")}, 1) AS pov, len({entities("c")}) AS k FROM o0)
-SELECT count(*) AS excerpts, count(o.id) AS outlined, coalesce(avg((o.id IS NOT NULL)::INT) >= 0.95, false) AS covered, count(*) FILTER (o.id IS NOT NULL AND events < 1) AS no_events, count(*) FILTER (o.id IS NOT NULL AND k = 0) AS no_pov FROM ex LEFT JOIN o ON ex.id = o.id""",
+SELECT count(*) AS excerpts, count(o.id) AS outlined, coalesce(avg((o.id IS NOT NULL)::INT) >= 0.95, false) AS covered, count(*) FILTER (o.id IS NOT NULL AND k = 0) AS bad_schema, count(*) FILTER (o.id IS NOT NULL AND k = 0) < 0.05 * greatest(count(o.id), 1) AS schema_ok,
+  0::BIGINT AS no_character_list, 0::BIGINT AS no_event_list, count(*) FILTER (o.id IS NOT NULL AND events < 1) AS no_events, count(*) FILTER (o.id IS NOT NULL AND k = 0) AS no_pov FROM ex LEFT JOIN o ON ex.id = o.id""",
     "kpi_pairs": r"""SELECT count(*) AS n_rows, count(*) >= 4500 AS enough, count(*) FILTER (NOT coalesce(contains(id, '_'), false)) AS no_underscore, count(DISTINCT teacher) AS teachers,
   count(*) FILTER (coalesce(NOT regexp_matches(clean, '[^ \t\n\f\r\x{0B}]'), true)) AS blank_clean, count(*) FILTER (coalesce(NOT regexp_matches(sloppy, '[^ \t\n\f\r\x{0B}]'), true)) AS blank_sloppy, count(*) FILTER (clean = sloppy) AS unchanged,
   coalesce(count(*) FILTER (clean = sloppy) < 0.10 * count(*), false) AS few_unchanged, count(id) - count(DISTINCT id) AS repeated_ids FROM raw_pairs""",
-    "kpi_dataset": f"""WITH {_SPLIT}, k AS (SELECT count(*) AS kept, count(*) >= 1800 AS enough, count(*) FILTER (ner_overlap < 0.9::DOUBLE OR sem_sim NOT BETWEEN 0.8::DOUBLE AND 0.97::DOUBLE OR sem_sim::VARCHAR = 'nan') AS outside_gate FROM filtered_pairs),
+    "kpi_dataset": f"""WITH {_SPLIT}, k AS (SELECT count(*) AS kept, count(*) >= 1800 AS enough, count(*) FILTER (NOT ({_GATE})) AS outside_gate FROM filtered_pairs),
 n AS (SELECT count(*) AS nulls, count(*) FILTER (clean IS DISTINCT FROM sloppy) AS edited_nulls, count(*) FILTER (NOT coalesce(starts_with(id, 'null_'), false)) AS bad_null_ids, count(DISTINCT {base("id")}) AS null_bases FROM null_pairs),
-s AS (SELECT coalesce(avg((split = 'val')::INT) BETWEEN 0.06 AND 0.14, false) AS val_share_ok, coalesce(avg((split = 'test')::INT) BETWEEN 0.06 AND 0.14, false) AS test_share_ok FROM sp)
-SELECT *, coalesce(nulls::DOUBLE / kept BETWEEN 0.08 AND 0.18, false) AS null_share_ok FROM k, n, s""",
+s AS (SELECT coalesce(avg((split = 'val')::INT) BETWEEN 0.06 AND 0.14, false) AS val_share_ok, coalesce(avg((split = 'test')::INT) BETWEEN 0.06 AND 0.14, false) AS test_share_ok FROM sp),
+t AS (SELECT count(id) - count(DISTINCT id) AS repeated_test_ids FROM test_raw),
+r AS (SELECT count(*) AS records, count(*) FILTER (NOT coalesce(contains(x, {_q(fixed.EDITOR_PROMPT)}), false)) AS no_prompt, count(*) FILTER (NOT coalesce(contains(x, {_q(fixed.ANSWER_MARK)}), false)) AS no_boundary FROM (SELECT {_chat("sloppy", "clean")} AS x FROM al))
+SELECT *, coalesce(nulls::DOUBLE / kept BETWEEN 0.08 AND 0.18, false) AS null_share_ok FROM k, n, s, t, r""",
     "pairs_by_base": f"SELECT {base('id')} AS base, count(*) AS n, count(DISTINCT teacher) AS teachers, min(line_no) AS first_line FROM raw_pairs GROUP BY 1",
     "texts_by_source": "SELECT source, count(text) AS texts, count(DISTINCT text) AS different FROM raw_excerpts GROUP BY source",
     "distinct_counts": "SELECT count(DISTINCT id) AS ids, count(DISTINCT teacher) AS teachers, count(*) AS n FROM raw_pairs",

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import lossy_text, strip
 from vellum.operators.pairs import not_yet
 from vellum.operators.ranks import batches, sample
-from vellum.shared import materialize
+from vellum.shared import materialize, shared_dir, ship
 
 #: Schemas of the pipeline's tables; nothing is inferred.
 EXCERPT = "id string, source string, text string, word_count int"
-OUTLINE = "map<string,variant>"
 PAIR = "id string, clean string, sloppy string, teacher string"
 KEPT_PAIR = PAIR + ", ner_overlap double, sem_sim double"
 TEXT = "text string"
@@ -24,8 +28,9 @@ TEXT_NAMES = ("TEXT", "text", "content", "body")
 
 
 def read_books(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, text`` of every ``*.txt`` under a folder; undecodable bytes are dropped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder)
+    """``path, text`` of every ``*.txt`` under a folder; undecodable bytes are dropped, files that can't be read
+    skipped. An empty file gives no row, as it gives no excerpt."""
+    files = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder)
     return files.select("path", lossy_text(F.col("content")).alias("text"))
 
 
@@ -65,6 +70,31 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return rows.select(F.format_string("%05d.txt", at).alias("name"), "text")
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path or URI names, and the path there."""
+    return fs.FileSystem.from_uri(path if ":/" in path else Path(path).resolve().as_uri())
+
+
+def write_files(df: DataFrame, folder: str) -> int:
+    """Write each row of ``name, text`` as a file of UTF-8 text, and return how many were written.
+
+    The folder is one that all executors share. A task that is run again writes its files again, with the same content;
+    characters that UTF-8 can't hold are dropped, and a null text is an empty file.
+    """
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = _system(folder)
+        system.create_dir(at, recursive=True)
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{at}/{name}") as f:
+                    f.write((text or "").encode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return df.select("name", "text").mapInArrow(run, "n long").groupBy().sum("n").first()[0] or 0
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; what a line lacks is null."""
     return spark.read.schema(schema).json(path)
@@ -79,11 +109,69 @@ def read_splits(spark: SparkSession, paths: dict[str, str], schema: str = TEXT)
     return out
 
 
+_GAP = re.compile(r"[ \t\r\n]*")
+
+
+def entries(text: str) -> Iterator[tuple[str, str]]:
+    """Key and JSON of each entry of one object's text, one after the other; a ``ValueError`` if it is anything else."""
+    decoder = json.JSONDecoder()
+    gap = lambda i: _GAP.match(text, i).end()
+    at = gap(0)
+    if text[at : at + 1] != "{":
+        raise ValueError("a keyed file is one JSON object")
+    at = gap(at + 1)
+    more = text[at : at + 1] != "}"
+    while more:
+        key, end = decoder.raw_decode(text, at)
+        at = gap(end)
+        if not isinstance(key, str) or text[at : at + 1] != ":":
+            raise ValueError(f"no key at character {at} of a keyed file")
+        start = gap(at + 1)
+        _, end = decoder.raw_decode(text, start)
+        yield key, text[start:end]
+        at = gap(end)
+        more = text[at : at + 1] == ","
+        if more:
+            at = gap(at + 1)
+    if text[at : at + 1] != "}" or gap(at + 1) != len(text):
+        raise ValueError(f"a keyed file doesn't end where its object does, at character {at}")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            ids, parts, size = [], [], 0
+            for key, part in entries(text):
+                ids.append(key)
+                parts.append(part)
+                size += len(part)
+                if size > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(parts, pa.string())], ["id", "entry"])
+                    ids, parts, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(parts, pa.string())], ["id", "entry"])
+
+
 def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
-    """``id, entry`` of a file that is one object of entries by id. Entries are variants, so no column is made of an id."""
+    """``id, entry`` of files that are one object of entries by id. Entries are variants, so no column is made of an id.
+
+    A file is read by one task, entry by entry: no value is larger than an entry, and the file's size has no limit but that
+    of a text (2 GB). A file that isn't one JSON object fails the job; nothing is dropped. Of a repeated key each entry is a row.
+    """
+    ship(spark)
+    if not _size(spark, path):  # a scan passes over empty files
+        raise ValueError(f"{path} is no keyed file: it is empty")
     whole = spark.read.text(path, wholetext=True)
-    entries = F.try_variant_get(F.try_parse_json("value"), "$", OUTLINE)
-    return whole.select(F.explode(entries).alias("id", "entry"))
+    return whole.mapInArrow(_entries, "id string, entry string").select("id", F.parse_json("entry").alias("entry"))
+
+
+def write_keyed_json(df: DataFrame, path: str) -> None:
+    """Rows ``id, entry`` (JSON texts) as one object of entries by id, in order of id. One file is one task; it sorts on disk."""
+    rows = df.where("id is not null and entry is not null").select("id", "entry")
+    first = rows.agg(F.min("id").alias("first"))
+    key = F.regexp_extract(F.to_json(F.struct(F.col("id").alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)
+    lines = rows.crossJoin(F.broadcast(first)).select(F.lit(1).alias("o"), "id", F.concat(F.when(F.col("id") == F.col("first"), "").otherwise(","), key, F.lit(": "), "entry").alias("value"))  # one row
+    ends = df.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "o int, id string, value string")
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("o", "id").select("value").write.mode("overwrite").text(path)
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = True) -> None:
@@ -94,30 +182,43 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = True) -> None:
 def append_new(df: DataFrame, path: str, key: str, schema: str, size: int = 50_000) -> int:
     """Append the rows of ``df`` whose key isn't in the file yet, batch by batch; a run that is cut off loses one batch.
 
-    Returns the number of batches. Batches are appended, never the whole written again.
+    Returns the number of batches. Batches are appended, never the whole written again; what is to do is written once, a
+    folder a batch, so that each batch reads only its own rows.
     """
     spark = df.sparkSession
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    todo = not_yet(df, read_jsonl(spark, path, schema), key) if there else df
-    todo = materialize(batches(todo, key, size))
-    n = todo.agg(F.max("batch")).first()[0]
-    for b in range(0 if n is None else int(n) + 1):
-        todo.where(F.col("batch") == b).drop("batch").write.mode("append").option("ignoreNullFields", True).json(path)
-    return 0 if n is None else int(n) + 1
-
-
-def existing(paths: dict[str, str], wanted: list[str] | None = None) -> dict[str, str]:
+    todo = batches(not_yet(df, read_jsonl(spark, path, schema), key) if there(spark, path) else df, key, size)
+    kept = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    todo.repartition("batch").write.partitionBy("batch").parquet(kept)
+    n = spark.read.schema(todo.schema).parquet(kept).agg(F.max("batch")).first()[0]
+    n = 0 if n is None else int(n) + 1
+    for b in range(n):
+        spark.read.schema(df.schema).parquet(f"{kept}/batch={b}").write.mode("append").option("ignoreNullFields", True).json(path)
+    return n
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, on whatever file system its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def existing(spark: SparkSession, paths: dict[str, str], wanted: list[str] | None = None) -> dict[str, str]:
     """Of named files those that are wanted (all, if none are named) and there: teachers to ask, fixtures to test with."""
-    return {k: p for k, p in paths.items() if (wanted is None or k in wanted) and Path(p).exists()}
+    return {k: p for k, p in paths.items() if (wanted is None or k in wanted) and there(spark, p)}
 
 
 def write_report(df: DataFrame, path: str) -> dict:
     """A report's one row as an indented JSON file."""
     row = df.first().asDict(recursive=True)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(row, indent=2, default=str))
+    system, at = _system(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(at) as f:
+        f.write(json.dumps(row, indent=2, default=str).encode())
     return row
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vellum.operators.pairs import not_yet
+from vellum.sources.files import there
 
 
 def json_stream(spark: SparkSession, folder: str, schema: str, files: int = 100) -> DataFrame:
@@ -31,8 +32,7 @@ def append_once(stream: DataFrame, out: str, key: str, checkpoint: str, step: Ca
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = step(batch).dropDuplicates([key])
-        at = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if there(spark, out):
             rows = not_yet(rows, spark.read.schema(rows.schema).parquet(out), key)
         rows.write.mode("append").parquet(out)
 
