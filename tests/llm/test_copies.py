@@ -63,11 +63,11 @@ def texts():
 def test_near_duplicates_against_brute_force(spark, texts):
     rows = [(f"i{k:04d}", t) for k, t in enumerate(texts)] + [("i0003", texts[3]), (None, texts[3]), ("null", None)]
     df = extra(spark.createDataFrame(rows, "id string, text string"))
-    links, members = near.near_duplicates(df, threshold=0.6, shingle=3)
-    got = {(r.id_a, r.id_b) for r in near.name_pairs(links, members).collect()}
+    links, balls, members = near.near_duplicates(df, threshold=0.6, shingle=3)
+    got = {(r.id_a, r.id_b) for r in near.name_pairs(links, balls, members).collect()}
     want = {(f"i{i:04d}", f"i{j:04d}") for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(texts[i], texts[j]) >= 0.6}
     assert not got - want and len(want - got) <= 0.005 * len(want) and len(want) > 100
-    counts = {r.c: r for r in near.link_counts(links, members).collect()}
+    counts = {r.c: r for r in near.link_counts(links, balls, members).collect()}
     of = defaultdict(set)
     for a, b in got:
         of[a].add(b)
@@ -75,10 +75,26 @@ def test_near_duplicates_against_brute_force(spark, texts):
     assert {r["name"]: counts[r.c].links for r in members.collect()} == {r["name"]: len(of[r["name"]]) for r in members.collect()}
 
 
+@pytest.mark.parametrize("hot", [4, 32])
+def test_near_copies_of_one_text_make_no_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(near, "HOT", hot)
+    base = story(150)
+    texts = [write([w if rng.random() > 0.015 else rng.choice(VOCAB) for w in base]) for _ in range(50)] + [write(changed(base, 0.12)) for _ in range(6)] + [write(story(80)) for _ in range(10)]
+    rows = [(f"i{k:03d}", t) for k, t in enumerate([*texts, texts[3], texts[3]])]
+    texts += [texts[3]] * 2
+    links, balls, members = near.near_duplicates(spark.createDataFrame(rows, "id string, text string"), threshold=0.6, shingle=3)
+    assert balls.count() >= 40 and links.count() < 12 * 50
+    want = {(f"i{i:03d}", f"i{j:03d}") for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(texts[i], texts[j]) >= 0.6}
+    got = {(r.id_a, r.id_b) for r in near.name_pairs(links, balls, members).collect()}
+    assert got == want and len(want) > 1200
+    counts = {r.c: r.links for r in near.link_counts(links, balls, members).collect()}
+    assert {r["name"]: counts[r.c] for r in members.collect()} == {n: sum(n in p for p in want) for n, _ in rows}
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "id string, text string")
-    links, members = near.near_duplicates(df)
-    assert links.count() == members.count() == near.name_pairs(links, members).count() == 0
+    links, balls, members = near.near_duplicates(df)
+    assert links.count() == members.count() == near.name_pairs(links, balls, members).count() == 0
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():

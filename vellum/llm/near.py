@@ -4,6 +4,12 @@ Texts with the same words are one class and meet once. Classes that share a band
 their sketches are compared a block at a time, and a pair is dropped once the posterior probability that its
 similarity reaches the threshold falls below ``EPSILON``. What is left is compared exactly, by its shingles.
 
+A bucket of more than ``HOT`` classes makes no pairs of them all. Its classes are compared with one class, the first of
+their buckets' first ones; those within half of the distance that the threshold leaves are a ball around it. Jaccard
+distance is a metric, so every two classes of a ball are near duplicates, and none of their pairs is made. The centre then
+stands for the ball in all buckets; what is near enough to a centre to be near to a member is compared with the members.
+So the links and memberships of n near copies of one text grow with n; pairs of names are made where they are asked for.
+
 At similarity 0.6 a pair misses all 48 bands of 4 values with probability 0.0013, at 0.65 with 0.0001.
 
 Null ids, null and empty texts and texts of fewer words than a shingle are in no pair. Rows that repeat an id are
@@ -18,13 +24,15 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.words import content, grams, lists, mix, slices, word_hashes, words
 from vellum.shared import materialize, semi, spread
 
 BANDS, ROWS = 48, 4
+#: Classes of a bucket that are all paired.
+HOT = 32
 #: Values compared before the next decision.
 BLOCK = 16
 #: A pair is dropped when its posterior probability of reaching the threshold is below this.
@@ -148,7 +156,7 @@ def jaccard(a: set, b: set) -> float:
 
 def _verifier(threshold: float, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for x in slices(whole, "t1", 4_000_000) for part in slices(x, "t2", 4_000_000)):
             out: list[tuple[int, int, float]] = []
             last, left = None, set()
             for c1, c2, t1, t2 in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
@@ -163,38 +171,87 @@ def _verifier(threshold: float, shingle: int):
     return run
 
 
-def near_duplicates(df: DataFrame, name: str = "id", text: str = "text", threshold: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Links between classes of equal texts (``c1, c2, similarity``) and their members (``name, c``)."""
+def _hot_balls(hot: DataFrame, verified, inner: float) -> DataFrame:
+    """``c, b``: the classes of hot buckets (``key, c``) within a ball, and its centre; centres are in their own ball."""
+    lead = hot.groupBy("key").agg(F.min("c").alias("r"))
+    mine = materialize(hot.join(lead, "key").groupBy("c").agg(F.min("r").alias("r")))
+    top = mine.select(F.col("c").alias("r"), F.col("r").alias("root"))
+    star = materialize(mine.join(top, "r").where("c <> root").select(F.col("root").alias("c1"), F.col("c").alias("c2")))
+    near = materialize(verified(star, inner))
+    centres = near.select(F.col("c1").alias("b")).distinct()
+    inside = near.join(centres.select(F.col("b").alias("c2")), "c2", "left_anti").select(F.col("c2").alias("c"), F.col("c1").alias("b"))
+    return materialize(inside.unionByName(centres.select(F.col("b").alias("c"), "b")))
+
+
+def near_duplicates(df: DataFrame, name: str = "id", text: str = "text", threshold: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links between classes of equal texts (``c1, c2, similarity``), balls of which every two classes are linked, too
+    (``c, b``), and the classes' members (``name, c``)."""
     rows = df.select(F.col(name).cast("string").alias("name"), F.col(text).cast("string").alias("text")).where("name is not null and text is not null")
     sketches = materialize(spread(rows).mapInArrow(_sketcher(shingle), "name string, c long, keys array<long>, sig binary"))
     bands = sketches.where("keys is not null").select("c", F.explode("keys").alias("key")).repartition("key").dropDuplicates(["key", "c"])
-    w = Window.partitionBy("key")
-    shared = materialize(bands.select("key", "c", F.min("c").over(w).alias("lo"), F.max("c").over(w).alias("hi")).where("lo < hi").select("key", "c"))
-    pairs = materialize(shared.select("key", F.col("c").alias("c1")).join(shared.select("key", F.col("c").alias("c2")), "key").where("c1 < c2").select("c1", "c2").distinct())
-    ends = pairs.select(F.explode(F.array("c1", "c2")).alias("c"))
-    sig = semi(sketches.where("sig is not null").select("c", "sig"), ends, "c").dropDuplicates(["c"])
-    left, right = (sig.select(F.col("c").alias(f"c{i}"), F.col("sig").alias(f"sig{i}")) for i in (1, 2))
-    likely = materialize(pairs.join(left, "c1").join(right, "c2").select("c1", "c2", "sig1", "sig2").mapInArrow(_pruner(threshold), "c1 long, c2 long"))
-    ends = likely.select(F.explode(F.array("c1", "c2")).alias("c")).distinct()
-    names = materialize(semi(sketches.select("name", "c"), materialize(ends), "c").groupBy("c").agg(F.min("name").alias("name")))
-    texts = semi(rows, names, "name").dropDuplicates(["name", "text"]).select("text").mapInArrow(_contents(shingle), "c long, text string").dropDuplicates(["c"])
-    left, right = (texts.select(F.col("c").alias(f"c{i}"), F.col("text").alias(f"t{i}")) for i in (1, 2))
-    links = materialize(likely.join(left, "c1").join(right, "c2").select("c1", "c2", "t1", "t2").mapInArrow(_verifier(threshold, shingle), "c1 long, c2 long, similarity double"))
-    return links, sketches.select("name", "c").distinct()
-
-
-def name_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Every pair of different names that a link or a class of equal texts joins: ``id_a < id_b``."""
+    count = bands.groupBy("key").agg(F.count("*").cast("int").alias("k")).where("k > 1")
+    shared = materialize(bands.join(count, "key").select("key", "c", "k"))
+
+    def likely(pairs: DataFrame, least: float) -> DataFrame:
+        ends = materialize(pairs.select(F.explode(F.array("c1", "c2")).alias("c")).distinct())
+        sig = semi(sketches.where("sig is not null").select("c", "sig"), ends, "c").dropDuplicates(["c"])
+        left, right = (sig.select(F.col("c").alias(f"c{i}"), F.col("sig").alias(f"sig{i}")) for i in (1, 2))
+        return materialize(pairs.join(left, "c1").join(right, "c2").select("c1", "c2", "sig1", "sig2").mapInArrow(_pruner(least), "c1 long, c2 long"))
+
+    def verified(pairs: DataFrame, least: float) -> DataFrame:
+        ends = materialize(pairs.select(F.explode(F.array("c1", "c2")).alias("c")).distinct())
+        names = materialize(semi(sketches.select("name", "c"), ends, "c").groupBy("c").agg(F.min("name").alias("name")))
+        texts = semi(rows, names, "name").dropDuplicates(["name", "text"]).select("text").mapInArrow(_contents(shingle), "c long, text string").dropDuplicates(["c"])
+        left, right = (texts.select(F.col("c").alias(f"c{i}"), F.col("text").alias(f"t{i}")) for i in (1, 2))
+        return pairs.join(left, "c1").join(right, "c2").select("c1", "c2", "t1", "t2").mapInArrow(_verifier(least, shingle), "c1 long, c2 long, similarity double")
+
+    hot = shared.where(F.col("k") > HOT).select("key", "c")
+    if hot.limit(1).count():
+        inner = (1 + threshold) / 2
+        balls = _hot_balls(hot, verified, inner)
+        # A centre stands for its ball.
+        shared = materialize(shared.join(balls, "c", "left").select("key", F.coalesce("b", "c").alias("c"), F.col("b").isNotNull().alias("ball")).distinct())
+        pairs = _paired(shared)
+        plain = pairs.where("balls = 0").select("c1", "c2")
+        # Within (1 - threshold) of a member, so within that and a ball's radius of its centre.
+        spread_ = [likely(pairs.where(F.col("balls") == n).select("c1", "c2"), max(0.0, threshold - n * (1 - inner))) for n in (1, 2)]
+        own = [balls.select(F.col("b").alias(f"c{i}"), F.col("c").alias(f"m{i}")) for i in (1, 2)]
+        wide = spread_[0].unionByName(spread_[1]).join(own[0], "c1", "left").join(own[1], "c2", "left").select(F.coalesce("m1", "c1").alias("x"), F.coalesce("m2", "c2").alias("y"))
+        pairs = materialize(plain.unionByName(wide.select(F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2"))).distinct())
+    else:
+        balls = df.sparkSession.createDataFrame([], "c long, b long")
+        pairs = materialize(_paired(shared.select("key", "c", F.lit(False).alias("ball"))).select("c1", "c2"))
+    links = materialize(verified(likely(pairs, threshold), threshold))
+    return links, balls, sketches.select("name", "c").distinct()
+
+
+def _paired(shared: DataFrame) -> DataFrame:
+    """``c1 < c2, balls`` of the classes in one bucket, and how many of the two stand for a ball."""
+    one, two = (shared.select("key", F.col("c").alias(f"c{i}"), F.col("ball").cast("int").alias(f"n{i}")) for i in (1, 2))
+    return one.join(two, "key").where("c1 < c2").select("c1", "c2", (F.col("n1") + F.col("n2")).alias("balls")).distinct()
+
+
+def class_edges(links: DataFrame, balls: DataFrame) -> DataFrame:
+    """``a, b``: edges that connect what links and balls connect, one for each member of a ball."""
+    return links.select(F.col("c1").alias("a"), F.col("c2").alias("b")).unionByName(balls.where("c <> b").select(F.col("c").alias("a"), "b"))
+
+
+def name_pairs(links: DataFrame, balls: DataFrame, members: DataFrame) -> DataFrame:
+    """Every pair of different names that a link, a ball or a class of equal texts joins: ``id_a < id_b``."""
     a, b = (members.select(F.col("name").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in (1, 2))
-    across = links.join(a, "c1").join(b, "c2")
+    x, y = (balls.select("b", F.col("c").alias(f"c{i}")) for i in (1, 2))
+    every = links.select("c1", "c2").unionByName(x.join(y, "b").where("c1 < c2").select("c1", "c2"))
+    across = every.join(a, "c1").join(b, "c2")
     within = a.join(b, F.col("c1") == F.col("c2"))
     both = across.select("n1", "n2").unionByName(within.where("n1 < n2").select("n1", "n2")).where("n1 <> n2")
     return both.select(F.least("n1", "n2").alias("id_a"), F.greatest("n1", "n2").alias("id_b")).distinct()
 
 
-def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+def link_counts(links: DataFrame, balls: DataFrame, members: DataFrame) -> DataFrame:
     """One row for each class: ``c``, its ``copies``, and the ``links`` each member has to other names."""
     size = members.groupBy("c").agg(F.count("*").alias("copies"))
     ends = links.select(F.explode(F.array(F.struct("c1", "c2"), F.struct(F.col("c2").alias("c1"), F.col("c1").alias("c2")))).alias("x")).select(F.col("x.c1").alias("c"), F.col("x.c2").alias("other"))
     reached = ends.join(size.select(F.col("c").alias("other"), F.col("copies").alias("k")), "other").groupBy("c").agg(F.sum("k").alias("reached"))
-    return size.join(reached, "c", "left").select("c", "copies", (F.col("copies") - 1 + F.coalesce("reached", F.lit(0))).alias("links"))
+    full = balls.join(size, "c").groupBy("b").agg(F.sum("copies").alias("ball"))
+    of = size.join(reached, "c", "left").join(balls.join(full, "b").select("c", "ball"), "c", "left")
+    return of.select("c", "copies", (F.coalesce("ball", "copies") - 1 + F.coalesce("reached", F.lit(0))).alias("links"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.llm.defects import pair_defects
 from vellum.llm.leaks import SPAN, leaks
 from vellum.llm.lines import repeated_lines, without_lines
-from vellum.llm.near import link_counts, name_pairs, near_duplicates
+from vellum.llm.near import class_edges, link_counts, name_pairs, near_duplicates
 from vellum.llm.pieces import pieces
 from vellum.llm.related import forest, related, related_pairs, related_splits
 from vellum.llm.spans import coverage, deduplicated, doc_pairs, shared_spans
@@ -76,11 +76,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each excerpt id with the group of those it is near to, directly or through others, and its links."""
-    links, members = near_duplicates(table(spark, d, "raw_excerpts"), **SIMILAR)
+    links, balls, members = near_duplicates(table(spark, d, "raw_excerpts"), **SIMILAR)
     members = materialize(members)
-    labels, _ = forest(links.select(F.col("c1").alias("a"), F.col("c2").alias("b")))
+    labels, _ = forest(class_edges(links, balls))
     root = labels.select(F.col("node").alias("c"), "root")
-    rows = members.join(link_counts(links, members), "c").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rows = members.join(link_counts(links, balls, members), "c").join(root, "c", "left").withColumn("root", F.coalesce("root", "c"))
     first = rows.groupBy("root").agg(F.min("name").alias("group_id"))
     return rows.join(first, "root").groupBy(F.col("name").alias("id")).agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"))
 
