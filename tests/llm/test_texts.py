@@ -307,6 +307,42 @@ def test_refusals_and_languages_of_whole_texts():
     assert not defects.other_language(story, story) and not defects.other_language(russian, russian) and not defects.other_language(story, "Café. Ann went home.")
 
 
+def test_long_and_broken_placeholders_are_empty():
+    for x in (None, "", " <p>\n</p> ", "null " * 100, "[no output] N/A"):
+        assert defects.is_empty(x)
+    assert not defects.is_empty("Nothing came of it.") and not defects.is_empty("null " * 100 + "mill")
+
+
+def test_the_classifier_knows_refusals_in_other_words(spark):
+    rng = random.Random(5)
+    nouns = "clerk mill weir boat widow harvest miller light bridge ferry oar market letter cellar garden lantern kettle saddle orchard river".split()
+    clause = lambda: f"the {rng.choice(nouns)} by the {rng.choice(nouns)} kept the {rng.choice(nouns)} that the {rng.choice(nouns)} had left"
+    prompt = lambda: " ".join(clause().capitalize() + "." for _ in range(12))
+    known = ["I'm sorry, but I can't help with that kind of story.", "I cannot write this scene.", "I must decline to draft a passage like this.", "I will not write this segment."]
+    held_out = [
+        "This tale is one that somebody else should be asked about.",
+        "Leider bleibt diese Seite leer, denn so etwas entsteht hier nicht.",
+        "Somebody with fewer scruples ought to take over from here. Thanks for understanding.",
+        "Better leave such matters alone, friend. Ask again tomorrow about something kinder.",
+    ]
+    rows = [(i, p := prompt(), " ".join(f"Moreover, {x}." for x in p.lower().split(". ")[:9]) + " And so they all went home again.") for i in range(300)]
+    rows += [(400 + i, prompt(), known[i % len(known)]) for i in range(24)] + [(500 + i, prompt(), x) for i, x in enumerate(held_out)]
+    assert not any(defects.declines(x) for x in held_out)
+    df = spark.createDataFrame([(*r, "t") for r in rows], "line_no long, clean string, sloppy string, teacher string")
+    got = {r.key: r.defect for r in defects.pair_defects(df).collect()}
+    assert {i for i, d in got.items() if d == "refusal"} >= {400 + i for i in range(24)} | {500 + i for i in range(len(held_out))}
+    assert not any(got[i] == "refusal" for i in range(300))
+    few = {r.key: r.defect for r in defects.pair_defects(df.where("line_no < 300 or line_no >= 500 or line_no < 405")).collect()}
+    assert few[400] == "refusal" and few[500] is None  # too few known ones to learn from
+
+
+def test_logistic_fit():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 2))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] - 1)))).astype(float)
+    assert np.allclose(defects.fit_logistic(x, y), [2, -1, -1], atol=0.2)
+
+
 def test_neighbours_find_shortened_texts(spark):
     base = "The clerk walked from the mill to the weir and nobody sold the boat. "
     texts = [base + f"Then {i} came home." for i in range(30)] + [base + "Then 7 came", base + "Then 7 came", base[:30], None, "", base + "Then 8 came home.”"]

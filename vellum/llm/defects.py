@@ -1,38 +1,44 @@
 """Broken prompt and response pairs: each defective row with one kind of defect.
 
-Kinds, the first that applies: ``empty`` (no sentence at all), ``refusal`` (a short text that declines, or one most of
-whose sentences decline or talk about the task), ``copy`` (most of the response's four-word runs stand in the prompt's
+Kinds, the first that applies: ``empty`` (no word but placeholders), ``refusal`` (half of the sentences decline or talk
+about the task; of up to three sentences one is enough), ``copy`` (most of the response's four-word runs stand in the prompt's
 text), ``language`` (function words of another language prevail, or the prompt's are missing, or another script prevails),
 ``truncated``. Truncation takes the length-limit spikes and endings of ``truncation``, and the responses to one prompt
 sorted by text: where the next one goes on from the whole of a response, the shorter one is a cut version, whatever its
 end is.
 
-A null response is empty. A null prompt can't be copied and has no language. Repeated rows each count. Equal texts are
+Refusals in words that no rule knows are found by a classifier that reads no words: how many of the prompt's content
+words the response takes up, their share, and its length against the prompt's. It is fitted (logistic regression) on the
+rows that the rules call refusals and those without a defect, at most ``FIT_ROWS`` rows in the order of their texts'
+hashes; with fewer than ``FIT_LEAST`` refusals among them the rules stand alone. It judges responses without another
+defect that end closed.
+
+Whole texts are judged, whatever their length. A null response is empty. A null prompt can't be copied and has no language. Repeated rows each count. Equal texts are
 compared once, and the sort is by ranges, so a prompt that many rows have doesn't fill a task.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.truncation import MEASURES, ending, judged
-from vellum.llm.words import WORD, grams, word_hashes
+from vellum.llm.words import MEMO, WORD, grams, hashes, slices
 from vellum.shared import bounded, materialize, ship, spread
 
 #: Share of a response's four-word runs that a copy has from its prompt's text.
 COPIED = 0.6
 GRAM = 4
-#: A refusal is no longer than this many words.
-REFUSAL_WORDS = 120
-#: Share of a longer text's sentences that decline or talk about the task, if it is a refusal.
-REFUSING = 0.5
+#: Share of a text's sentences that decline or talk about the task, if it is a refusal; up to FEW sentences one is enough.
+REFUSING, FEW = 0.5, 3
+#: Rows that the classifier is fitted on at most, and the refusals it needs among them.
+FIT_ROWS, FIT_LEAST = 4_000, 12
 #: Words that a text needs before its language is judged, and by how much another language must prevail.
 LANGUAGE_WORDS, MARGIN = 12, 0.05
 #: Share of function words from which a prompt's language is clear, and up to which the response has none of it.
@@ -54,7 +60,9 @@ _CODE = {w: sum(1 << i for i, ws in enumerate(FUNCTION_WORDS.values()) if w in w
 _LANGS = list(FUNCTION_WORDS)
 
 _OPENER = re.compile(r"^\W*(?:(?:segment|draft|story|scene|text|output|response|answer|assistant|hmm|well|okay|ok|sure)\b\s*[:.,!—-]*\s*)+", re.IGNORECASE)
-_EMPTY = re.compile(r"<[^<>]*>|\b(?:null|none|nan|n/a|na|nil|empty|blank|no output|no text|no response|no draft|nothing|undefined|todo|tbd|segment|draft|output)\b", re.IGNORECASE)
+_TAG = re.compile(r"<[^<>]*>")
+#: Words that stand for no text (fixed values).
+_PLACEHOLDERS = set("null none nan n a na nil empty blank no output text response draft nothing undefined todo tbd segment".split())
 #: What a text says that declines, by language.
 _REFUSAL = re.compile(
     r"\b(?:i|we)(?:'|’)?(?: a)?m (?:sorry|afraid|unable|not able|not comfortable|not allowed|stopping)|\bso i am stopping|\bi am (?:sorry|unable|not able|not comfortable|not allowed|stopping)"
@@ -71,22 +79,48 @@ TASK_WORDS = set(
     "outline scene segment story draft passage write writing author instructions guidelines help assist request summarise summarize version task content prompt setting fragment text"
     " szene entwurf schreiben verfassen geschichte anfrage helfen abschnitt scène rédiger écrire plan histoire demande aider extrait escena fragmento escribir redactar esquema historia solicitud ayudar".split()
 )
-TASK_TEXT_WORDS = 60
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
+_TASK, _CONTENT = 1 << len(FUNCTION_WORDS), 2 << len(FUNCTION_WORDS)
+_BITS = np.array([[code >> i & 1 for i in range(len(FUNCTION_WORDS))] for code in range(4 << len(FUNCTION_WORDS))], np.int64)
+
+
+class _Codes(dict):
+    """A word's bits: its languages, whether it is about the task, and whether it has more than three letters; up to ``MEMO`` words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        low = word.lower()
+        self[word] = c = (_CODE.get(low) or 0) | (_TASK if low in TASK_WORDS else 0) | (_CONTENT if len(word) > 3 else 0)
+        return c
+
+
+_codes = _Codes()
+
+
+def codes(found: list[str]) -> np.ndarray:
+    """Each word's bits."""
+    return np.fromiter(map(_codes.__getitem__, found), np.int64, len(found))
+
+
+def _shares(code: np.ndarray) -> list[float]:
+    """Each language's share of the words; none for few words."""
+    if len(code) < LANGUAGE_WORDS:
+        return []
+    return (np.bincount(code, minlength=len(_BITS)) @ _BITS / len(code)).tolist()
+
+
+def _prevails(share: list[float]) -> str | None:
+    best = max(range(len(share)), key=share.__getitem__) if share else 0
+    return _LANGS[best] if share and share[best] >= 0.08 else None
+
+
 def language(text: str | None) -> tuple[str | None, list[float]]:
     """The language whose function words prevail, and each language's share of the words; None for few words."""
-    found = WORD.findall((text or "").lower())
-    if len(found) < LANGUAGE_WORDS:
-        return None, []
-    count = [0] * len(_LANGS)
-    for code, n in Counter(map(_CODE.get, found)).items():
-        for i in range(len(_LANGS)):
-            count[i] += n * ((code or 0) >> i & 1)
-    share = [c / len(found) for c in count]
-    best = max(range(len(_LANGS)), key=share.__getitem__)
-    return (_LANGS[best] if share[best] >= 0.08 else None), share
+    share = _shares(codes(WORD.findall(text or "")))
+    return _prevails(share), share
 
 
 def _foreign(text: str | None) -> bool:
@@ -97,30 +131,33 @@ def _foreign(text: str | None) -> bool:
     return 2 * sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters) > len(letters)
 
 
-def other_language(prompt: str | None, response: str | None) -> bool:
-    """Whether another language than the prompt's prevails in the response, by ``MARGIN`` at least; or another script, or a language that isn't known, where the prompt's is clear."""
-    a, clear = language(prompt)
+def other_language(prompt: str | None, response: str | None, of: tuple[np.ndarray, np.ndarray] | None = None) -> bool:
+    """Whether another language than the prompt's prevails in the response, by ``MARGIN`` at least; or another script, or a language that isn't known, where the prompt's is clear.
+
+    ``of`` are both texts' bits, where they are known.
+    """
+    first, second = of or (codes(WORD.findall(prompt or "")), codes(WORD.findall(response or "")))
+    clear = _shares(first)
+    a = _prevails(clear)
     if not a:
         return False
     if _foreign(response):
         return not _foreign(prompt)
-    b, share = language(response)
+    share = _shares(second)
+    b = _prevails(share)
     if b and b != a and share[_LANGS.index(b)] - share[_LANGS.index(a)] >= MARGIN:
         return True
     return bool(share) and clear[_LANGS.index(a)] >= CLEAR and share[_LANGS.index(a)] <= MISSING
 
 
-def declines(text: str) -> bool:
-    """Whether a text declines to write, outside of speech in quotation marks."""
+def declines(text: str, task: int | None = None) -> bool:
+    """Whether a text declines to write, outside of speech in quotation marks. ``task`` is how many words about the task it has."""
+    if task is not None and task < 2 and len(_END.findall(text)) > FEW:
+        return False  # more sentences than FEW need two with a word about the task
     bare = re.sub(r"[“„«][^”“»]*[”“»]|\"[^\"]*\"", " ", _OPENER.sub("", text))
-    if len(text.split(None, REFUSAL_WORDS)) <= REFUSAL_WORDS:
-        m = _REFUSAL.search(bare)
-        if m and m.start() <= 160:
-            return True
-        found = [w.lower() for w in WORD.findall(bare)]
-        if len(found) <= TASK_TEXT_WORDS and sum(w in TASK_WORDS for w in found) >= 2 and ending(text) == "closed":
-            return True
     told = [(x, sum(w in TASK_WORDS for w in found)) for x in _SENTENCE.split(bare) if (found := WORD.findall(x.lower()))]
+    if len(told) <= FEW:
+        return any(n >= 2 and ending(text) == "closed" or bool(_REFUSAL.search(x)) for x, n in told)
     least = max(2, REFUSING * len(told))
     # What a story's narrator can't do has nothing to do with the task; few texts need the long pattern.
     if sum(n > 0 for _, n in told) < least or not _REFUSAL.search(bare):
@@ -128,36 +165,75 @@ def declines(text: str) -> bool:
     return sum(n >= 2 or n == 1 and bool(_REFUSAL.search(x)) for x, n in told) >= least
 
 
+_END = re.compile(r"[.!?…]+\s")
+
+
 def is_empty(text: str | None) -> bool:
     """Whether a text holds no words but placeholders."""
-    return text is None or not WORD.search(_EMPTY.sub(" ", text) if len(text) < 200 else text)
+    if text is None:
+        return True
+    bare = _TAG.sub(" ", text) if "<" in text else text
+    return all(w[0].lower() in _PLACEHOLDERS for w in WORD.finditer(bare))
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for x in slices(whole, "prompt") for part in slices(x, "text")):
         prompts, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
-        (hp, ep), (ht, et) = word_hashes(prompts), word_hashes(texts)
-        gp, gt = grams(hp, GRAM), grams(ht, GRAM)
         out = []
-        for i, (p, t) in enumerate(zip(prompts, texts, strict=True)):
-            defect = None
+        for p, t in zip(prompts, texts, strict=True):
+            defect, k, share = None, 0, 0.0
+            wp, wt = WORD.findall(p or ""), WORD.findall(t or "")
+            cp, ct = codes(wp), codes(wt)
             if is_empty(t):
                 defect = "empty"
-            elif declines(t):
+            elif declines(t, int(np.count_nonzero(ct & _TASK))):
                 defect = "refusal"
-            else:
-                own = gt[et[i] : max(et[i], et[i + 1] - GRAM + 1)]
-                if len(own) and p and np.isin(own, gp[ep[i] : max(ep[i], ep[i + 1] - GRAM + 1)]).mean() >= COPIED:
+            hp, ht = hashes(wp), hashes(wt)
+            own = np.unique(ht[ct & _CONTENT > 0])
+            if len(own):
+                k = int(np.isin(own, hp).sum())
+                share = k / len(own)
+            if not defect:
+                grams_ = grams(ht, GRAM)
+                if len(grams_) and share > 0 and np.isin(grams_, grams(hp, GRAM)).mean() >= COPIED:
                     defect = "copy"
-                elif other_language(p, t):
+                elif other_language(p, t, (cp, ct)):
                     defect = "language"
             t = t or ""
             bare = t.strip()
-            out.append((defect, ending(t, p), len(t), len(bare), len(t.encode("utf-8", "surrogatepass")), len(bare.encode("utf-8", "surrogatepass"))))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+            out.append((defect, k, share, log((len(wt) + 1) / (len(wp) + 1)), ending(t, p), len(t), len(bare), len(t.encode("utf-8", "surrogatepass")), len(bare.encode("utf-8", "surrogatepass"))))
+        cols = list(zip(*out, strict=True)) or [()] * 9
+        kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string(), *[pa.int64()] * 4]
         made = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made[0], b.column(4), b.column(5), *made[1:]], ["key", "source", "defect", "p", "h", "ending", *MEASURES])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), *made], ["key", "source", "p", "h", "defect", "taken", "share", "longer", "ending", *MEASURES])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Weights, the constant last, of a logistic regression by Newton's method; ``x`` should be of unit scale."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def _refuses(feats: DataFrame) -> Column:
+    """Whether a row refuses by what it takes up of its prompt; false for all if there are too few known refusals."""
+    x = [F.log1p("taken"), F.col("share"), F.col("longer")]
+    rows = feats.where("defect is null and ending = 'closed' or defect = 'refusal'").orderBy("h", "key").limit(FIT_ROWS)
+    seen = np.array([tuple(r) for r in rows.select((F.col("defect").isNotNull()).cast("double"), *x).collect()]).reshape(-1, 4)
+    if seen[:, 0].sum() < FIT_LEAST:
+        return F.lit(False)
+    mean, sd = seen[:, 1:].mean(axis=0), seen[:, 1:].std(axis=0) + 1e-9
+    w = fit_logistic((seen[:, 1:] - mean) / sd, seen[:, 0]).tolist()
+    z = F.lit(w[3])
+    for i, c in enumerate(x):
+        z = z + (c - float(mean[i])) / float(sd[i]) * w[i]
+    return z > 0
 
 
 def _goes_on(a: str, b: str) -> bool:
@@ -218,8 +294,9 @@ def pair_defects(df: DataFrame, key: str = "line_no", prompt: str = "clean", res
     """``key, source, defect``: each row of ``df`` with its kind of defect, null if it has none."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(prompt).cast("string").alias("prompt"), F.col(response).cast("string").alias("text"))
     hashed = rows.select("*", F.xxhash64("prompt").alias("p"), F.xxhash64("text").alias("h"))
-    feats = materialize(spread(hashed).mapInArrow(_rules, "key long, source string, defect string, p long, h long, ending string, " + ", ".join(f"{m} long" for m in MEASURES)))
+    feats = materialize(spread(hashed).mapInArrow(_rules, "key long, source string, p long, h long, defect string, taken long, share double, longer double, ending string, " + ", ".join(f"{m} long" for m in MEASURES)))
     cut = materialize(shortened(df, prompt, response))
     told = judged(feats).join(bounded(cut.withColumn("more", F.lit(True))), ["p", "h"], "left")
     truncated = F.col("truncated") | F.coalesce("more", F.lit(False))
-    return told.select("key", "source", F.coalesce("defect", F.when(truncated, F.lit("truncated"))).alias("defect"))
+    refusal = (F.col("ending") == "closed") & _refuses(feats)
+    return told.select("key", "source", F.coalesce("defect", F.when(truncated, F.lit("truncated")).when(refusal, F.lit("refusal"))).alias("defect"))

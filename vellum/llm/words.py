@@ -37,6 +37,11 @@ def words(text: str | None) -> list[str]:
     return [w.lower() for w in WORD.findall(text)] if text else []
 
 
+def hashes(found: list[str]) -> np.ndarray:
+    """The hashes of words as ``WORD`` finds them."""
+    return np.fromiter(map(_hash.__getitem__, found), np.uint64, len(found))
+
+
 def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' word hashes in one array, and each text's start (one more for the end)."""
     parts, ends, n = [], [0], 0
