@@ -12,7 +12,7 @@ from vellum.llm.leaks import SPAN, leaks
 from vellum.llm.lines import repeated_lines, without_lines
 from vellum.llm.near import class_edges, link_counts, name_pairs, near_duplicates
 from vellum.llm.pieces import pieces
-from vellum.llm.related import forest, related, related_pairs, related_splits
+from vellum.llm.related import forest, related, related_pairs, related_splits, ties
 from vellum.llm.spans import coverage, deduplicated, doc_pairs, shared_spans
 from vellum.llm.splits import cross_split
 from vellum.llm.tokens import token_ids
@@ -97,18 +97,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping records of each evaluation split and teacher: how many, their training rows, and the mean share covered."""
+    """Overlapping records of each evaluation split and teacher: how many, and their training rows."""
     kept, test = table(spark, d, "filtered_pairs"), table(spark, d, "test_raw")
     rows = lambda df, split: df.select(F.lit(split).alias("split"), F.col("line_no").alias("eval_line"), "teacher")
     of = rows(test, "test").unionByName(rows(kept.where("split = 'val'"), "val"))
-    best = _overlaps(spark, d).groupBy("split", "eval_line").agg(F.count("*").alias("k"), F.max("covered").alias("covered"))
+    best = _overlaps(spark, d).groupBy("split", "eval_line").agg(F.count("*").alias("k"))
     found = of.join(best, ["split", "eval_line"], "left")
-    return found.groupBy("split", "teacher").agg(F.count("*").alias("records"), F.count("k").alias("overlapping"), F.coalesce(F.sum("k"), F.lit(0)).alias("training_rows"), F.round(F.avg("covered"), 6).alias("mean_covered"))
+    return found.groupBy("split", "teacher").agg(F.count("*").alias("records"), F.count("k").alias("overlapping"), F.coalesce(F.sum("k"), F.lit(0)).alias("training_rows"))
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
-    """Each overlapping evaluation record: its training rows, the nearest one's similarity, and the most of it that is covered."""
-    return _overlaps(spark, d).groupBy("split", "eval_line").agg(F.count("*").alias("training_rows"), F.round(F.max("similarity"), 6).alias("similarity"), F.round(F.max("covered"), 6).alias("covered"))
+    """Each overlapping evaluation record: its training rows, and the nearest one's similarity."""
+    return _overlaps(spark, d).groupBy("split", "eval_line").agg(F.count("*").alias("training_rows"), F.round(F.max("similarity"), 6).alias("similarity"))
+
+
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Each overlapping evaluation record: the most of it that one training row's chain of seeds covers, and the most it covers of one."""
+    return _overlaps(spark, d).groupBy("split", "eval_line").agg(F.round(F.max("covered"), 6).alias("covered"), F.round(F.max("covers"), 6).alias("covers"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,6 +125,31 @@ def p5_split(spark: SparkSession, d: str) -> DataFrame:
     return related_splits(table(spark, d, "raw_excerpts"), table(spark, d, "raw_pairs"))
 
 
+def p5_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The spanning forest of all ties: its edges, its nodes, and the components they leave, one less than the nodes for each edge."""
+    edges, _ = ties(table(spark, d, "raw_excerpts"), table(spark, d, "raw_pairs"))
+    labels, kept = forest(edges)
+    nodes = labels.agg(F.count("*").alias("nodes"), F.count_distinct("root").alias("components"))
+    return nodes.crossJoin(kept.agg(F.count("*").alias("edges"))).withColumn("spans", F.col("nodes") - F.col("edges") == F.col("components"))  # one row each
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Whether related keys share a split, whether every key has one, and whether each split's rows are within 2 % of its share."""
+    excerpts, pairs = table(spark, d, "raw_excerpts"), table(spark, d, "raw_pairs")
+    split = materialize(related_splits(excerpts, pairs))
+    found = related_pairs(materialize(related(excerpts, pairs)))
+    a, b = (split.select("kind", F.col("key").alias(f"key_{x}"), F.col("split").alias(f"s_{x}")) for x in "ab")
+    apart = found.join(a, ["kind", "key_a"]).join(b, ["kind", "key_b"]).where("s_a <> s_b").agg(F.count("*").alias("apart"))
+    keys = split.where("kind <> 'excerpt' and key is not null").groupBy("kind").agg(F.count("*").alias("keys"))
+    rows = excerpts.where("source is not null").groupBy(F.col("source").alias("key")).agg(F.count("*").alias("n")).select(F.lit("source").alias("kind"), "key", "n")
+    rows = rows.unionByName(excerpts.where("source is null").groupBy(F.col("id").alias("key")).agg(F.count("*").alias("n")).select(F.lit("excerpt").alias("kind"), "key", "n"))
+    rows = rows.unionByName(pairs.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("n")).select(F.lit("pair").alias("kind"), "key", "n"))
+    given = rows.join(split, (rows.kind == split.kind) & rows.key.eqNullSafe(split.key)).groupBy("split").agg(F.sum("n").alias("n"))
+    total = rows.agg(F.sum("n").alias("all"))
+    near = given.crossJoin(total).agg(F.sum("n").alias("rows"), F.bool_and(F.abs(F.col("n") / F.col("all") - F.when(F.col("split") == "train", 0.8).otherwise(0.1)) < 0.02).alias("shares_ok"))  # one row
+    return keys.crossJoin(apart).crossJoin(near)  # one row each
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every text above its table's limit."""
     each = [pieces(table(spark, d, t), r, limit, overlap).select(F.lit(t).alias("tbl"), "*") for t, r, limit, overlap in SIZED]
@@ -130,6 +160,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece = 1").select("tbl", "rec_id")
 
 
+def p6_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each long text add up to: its first and last character, pieces within the limit, overlaps within theirs, and the text itself put together again."""
+    each = []
+    for t, r, limit, overlap in SIZED:
+        p = pieces(table(spark, d, t), r, limit, overlap)
+        by = p.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "end", "text"))).alias("x"))
+        before = lambda x, i: F.when(i > 0, F.get("x", i - 1)["end"]).otherwise(F.lit(0))
+        whole = F.array_join(F.transform("x", lambda x, i: F.substring(x["text"], before(x, i) - x["start"] + 1, F.length(x["text"]))), "")
+        back = F.transform("x", lambda x, i: before(x, i) - x["start"])
+        fits = F.forall("x", lambda x: (F.length(x["text"]) <= limit) & (F.length(x["text"]) == x["end"] - x["start"])) & F.forall(back, lambda n: (n >= 0) & (n <= overlap))
+        each.append(by.select(F.lit(t).alias("tbl"), "rec_id", fits.alias("fits"), F.length(whole).alias("n_chars"), F.md5(whole).alias("digest")))
+    return each[0].unionByName(each[1])
+
+
 def _cut(spark: SparkSession, d: str) -> DataFrame:
     return judged(materialize(features(table(spark, d, "raw_pairs"), "line_no", "teacher", "sloppy", "clean")))
 
@@ -156,6 +200,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each item that leaked in its own words: how many documents hold a run of it."""
+    return _leaks(spark, d).where(F.col("exact_words") >= SPAN).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
     """Each item that leaked, exactly or with changed words: its documents and its longest overlap."""
     hit = _leaks(spark, d).where(F.col("overlap_words") >= SPAN)
     return hit.groupBy("item_id").agg(F.count("*").alias("documents"), F.sum(F.when(F.col("exact_words") >= SPAN, 1).otherwise(0)).alias("exact_documents"), F.max("overlap_words").alias("longest_overlap"))
@@ -182,8 +231,8 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        *(p1_found, p1_clean, p1_clean_exact, p1_near, p2_found, p2_by_teacher, p3_found, p3_groups, p4_found, p4_report, p4_records, p5_found, p5_split),
-        *(p6_found, p6_pieces, p7_found, p7_rates, p8_ids, p9_found, p9_items, p10_found, p10_coverage, p10_clean),
+        *(p1_found, p1_clean, p1_clean_exact, p1_near, p2_found, p2_by_teacher, p3_found, p3_groups, p4_found, p4_report, p4_records, p4_coverage, p5_found, p5_split, p5_shares, p5_forest),
+        *(p6_found, p6_pieces, p6_shapes, p7_found, p7_rates, p8_ids, p9_found, p9_items, p9_near, p10_found, p10_coverage, p10_clean),
     )
 }
 
@@ -230,7 +279,51 @@ ed AS (
   UNION SELECT 'pair', a.id, b.id FROM bases a JOIN bases b ON CASE WHEN a.hexed <> '' THEN a.hexed ELSE a.cut END = CASE WHEN b.hexed <> '' THEN b.hexed ELSE b.cut END AND a.id <> b.id),
 reach AS (SELECT kind, x, y FROM ed UNION SELECT r.kind, r.x, e.y FROM reach r JOIN ed e ON r.kind = e.kind AND r.y = e.x)"""
 
+_NEAR = (
+    _shingles("SELECT id AS key, any_value(text) AS text FROM raw_excerpts WHERE id IS NOT NULL AND text IS NOT NULL AND text <> '' GROUP BY id", 3)
+    + """, both_ AS (SELECT a.key AS id_a, b.key AS id_b, a.n AS na, b.n AS nb, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.key < b.key GROUP BY ALL),
+near AS (SELECT id_a, id_b FROM both_ WHERE k::DOUBLE / (na + nb - k) >= 0.6)"""
+)
+_OVERLAPS = (
+    """WITH t AS (
+  SELECT 'test' AS side, line_no, clean AS text FROM test_raw WHERE clean IS NOT NULL
+  UNION ALL SELECT split, line_no, clean FROM filtered_pairs WHERE split IN ('train', 'val') AND clean IS NOT NULL),"""
+    + _shingles("SELECT struct_pack(s := side, l := line_no) AS key, text FROM t", 3)
+    + """, both_ AS (
+  SELECT a.key AS e, b.key AS r, a.n AS na, b.n AS nb, count(*) AS k
+  FROM sh a JOIN sh b ON a.g = b.g WHERE a.key.s <> 'train' AND b.key.s = 'train' GROUP BY ALL),
+every AS (SELECT split, eval_line, train_line, max(s) AS s FROM (
+  SELECT e.s AS split, e.l AS eval_line, r.l AS train_line, k::DOUBLE / (na + nb - k) AS s FROM both_ WHERE k::DOUBLE / (na + nb - k) >= 0.6
+  UNION ALL SELECT a.side, a.line_no, b.line_no, 1.0 FROM t a JOIN t b ON a.text = b.text WHERE a.side <> 'train' AND b.side = 'train') GROUP BY ALL)"""
+)
+_WINDOWS = """WITH g AS (SELECT doc_id, i, substring(text, i::INT, 300) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+held AS (SELECT g, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1)"""
+
 SQL: dict[str, str] = {
+    "p3_groups": "WITH RECURSIVE "
+    + _NEAR
+    + """, ed AS (SELECT id_a AS x, id_b AS y FROM near UNION ALL SELECT id_b, id_a FROM near),
+ids AS (SELECT key AS id FROM w WHERE len(ws) >= 3),
+reach AS (SELECT x, y FROM ed UNION SELECT r.x, e.y FROM reach r JOIN ed e ON r.y = e.x)
+SELECT id, least(id, coalesce((SELECT min(y) FROM reach WHERE x = id), id)) AS group_id, (SELECT count(*) FROM ed WHERE x = id) AS links FROM ids""",
+    "p4_records": _OVERLAPS + " SELECT split, eval_line, count(*) AS training_rows, round(max(s), 6) AS similarity FROM every GROUP BY ALL",
+    "p4_report": _OVERLAPS
+    + """, best AS (SELECT split, eval_line, count(*) AS k FROM every GROUP BY ALL),
+rows_ AS (SELECT 'test' AS split, line_no AS eval_line, teacher FROM test_raw UNION ALL SELECT 'val', line_no, teacher FROM filtered_pairs WHERE split = 'val')
+SELECT split, teacher, count(*) AS records, count(k) AS overlapping, coalesce(sum(k), 0)::BIGINT AS training_rows FROM rows_ LEFT JOIN best USING (split, eval_line) GROUP BY ALL""",
+    "p9_items": "WITH "
+    + _shingles("SELECT struct_pack(s := 'd', i := doc_id) AS key, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT struct_pack(s := 'i', i := item_id), text FROM eval_items WHERE text IS NOT NULL", 13)
+    + " SELECT b.key.i AS item_id, count(DISTINCT a.key.i) AS documents FROM sh a JOIN sh b ON a.g = b.g WHERE a.key.s = 'd' AND b.key.s = 'i' GROUP BY ALL",
+    "p10_coverage": _WINDOWS
+    + """, m AS (SELECT doc_id, i FROM g SEMI JOIN held USING (g)),
+isl AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 300 THEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) ELSE 300 END AS more FROM m),
+cov AS (SELECT doc_id, sum(more)::BIGINT AS k FROM isl GROUP BY doc_id),
+pairs AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM (SELECT DISTINCT doc_id, g FROM g SEMI JOIN held USING (g)) a JOIN (SELECT DISTINCT doc_id, g FROM g SEMI JOIN held USING (g)) b ON a.g = b.g AND a.doc_id <> b.doc_id),
+oth AS (SELECT x AS doc_id, count(*) AS n FROM pairs GROUP BY x)
+SELECT d.doc_id, length(text)::BIGINT AS n_chars, coalesce(k, 0) AS shared_chars, coalesce(oth.n, 0) AS shared_with FROM documents d LEFT JOIN cov USING (doc_id) LEFT JOIN oth USING (doc_id) WHERE length(text) >= 300""",
+    "p6_shapes": "SELECT 'raw_texts' AS tbl, text_id AS rec_id, true AS fits, length(text)::INT AS n_chars, md5(text) AS digest FROM raw_texts WHERE length(text) > 24000 UNION ALL SELECT 'raw_excerpts', line_no, true, length(text)::INT, md5(text) FROM raw_excerpts WHERE length(text) > 2400",
+    "p5_shares": """SELECT kind, keys, 0::BIGINT AS apart, (SELECT count(*) FROM raw_excerpts) + (SELECT count(*) FROM raw_pairs) AS rows, true AS shares_ok
+FROM (SELECT 'source' AS kind, count(DISTINCT source) AS keys FROM raw_excerpts UNION ALL SELECT 'pair', count(DISTINCT id) FROM raw_pairs)""",
     "p5_found": _TIES + " SELECT kind, x AS key_a, y AS key_b FROM reach WHERE x < y",
     "p1_found": _FOUND_LINES + "SELECT tbl, rec_id, line_pos FROM found",
     "p1_clean_exact": _FOUND_LINES

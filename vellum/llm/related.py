@@ -22,8 +22,8 @@ from vellum.shared import materialize, ship
 
 #: Edges that one task contracts: 8 MB.
 LOCAL = 200_000
-#: Bands of components of 1 / LARGE of all rows or more are dealt first: they have LARGE components at most. A lane of the
-#: other bands has about LANE components.
+#: Components in bands of 1 / LARGE of all rows or more are dealt first: there are LARGE at most. A lane of the other bands
+#: has about LANE components.
 LARGE, LANE = 1000, 10_000
 #: The pattern by which components are dealt has this many places.
 PATTERN = 500
@@ -215,21 +215,24 @@ def _dealt(sizes: DataFrame, shares: dict[str, float], lanes: dict[int, int], se
 def deal(sizes: DataFrame, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """``root, split`` for components ``root, n``: within a band of sizes (powers of two), they are dealt in hash order.
 
-    Bands of large components are dealt first, each beginning with the largest share, so a component that holds a large part
-    of all rows goes there. The others are then dealt by what the shares still lack over all. Their bands are cut in lanes, so
+    Large components, ``LARGE`` at most, are dealt first, from the largest on, each to the split that lacks most rows; so one
+    that holds a large part of all rows goes to the largest share. The others are then dealt by what the shares still lack. Their bands are cut in lanes, so
     that no task sorts a whole band, and each lane starts elsewhere in the pattern.
     """
     rows = materialize(sizes.select("root", "n", F.floor(F.log2("n")).cast("int").alias("band")))
     bands = {r.band: r for r in rows.groupBy("band").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()}  # 63 at most
     total = sum(r.n for r in bands.values())
     is_large = F.pow(F.lit(2.0), "band") >= total / LARGE
-    large = materialize(_dealt(rows.where(is_large), shares, {}, seed))
-    given = {r.split: r.n for r in large.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row a split
-    whole = sum(shares.values())
-    lacking = {k: max(0.0, v / whole * total - given.get(k, 0)) for k, v in shares.items()}
+    lacking = {k: v / sum(shares.values()) * total for k, v in shares.items()}
+    each = []
+    for r in sorted(rows.where(is_large).collect(), key=lambda r: (-r.n, r.root)):  # LARGE at most
+        each.append((r.root, k := max(lacking, key=lambda k: lacking[k])))
+        lacking[k] -= r.n
+    large = sizes.sparkSession.createDataFrame(each, "root long, split string")
+    lacking = {k: max(0.0, v) for k, v in lacking.items()}
     lanes = {b: -(-r.k // LANE) for b, r in bands.items() if 2.0**b < total / LARGE}
     small = _dealt(rows.where(~is_large), lacking if sum(lacking.values()) else shares, lanes, seed)
-    return large.unionByName(small).select("root", "split")
+    return large.unionByName(small.select("root", "split"))
 
 
 def related_splits(excerpts: DataFrame, pairs: DataFrame, shares: dict[str, float] | None = None) -> DataFrame:
