@@ -173,6 +173,14 @@ def test_overlap_over_changed_words():
     assert leaks.overlap(["a"], item) == (0, 0, 0)
 
 
+def test_changed_words_leave_most_items_found():
+    found = 0
+    for _ in range(60):
+        item = story(40)
+        found += leaks.overlap(story(50) + [w if rng.random() > 0.1 else rng.choice(VOCAB) for w in item] + story(50), item)[1] >= 13
+    assert found >= 57 and leaks.map_bits(0) == 16 and leaks.map_bits(10**9) == leaks.MOST_BITS and leaks.map_bits(100_000) == 21
+
+
 def test_shared_spans_against_brute_force(spark):
     def text(n):
         out = ""
@@ -256,6 +264,13 @@ def test_forest_against_union_find(spark):
         want[find(x)].add(x)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
     assert kept.count() == len(parent) - len(want)  # a tree for each component, and each edge once
+    # Rounds over tables give the forest that one task gives.
+    rounds, taken = related.forest(spark.createDataFrame(edges, "a long, b long"), local=0)
+    assert {(r.a, r.b) for r in taken.collect()} == {(r.a, r.b) for r in kept.collect()}
+    again = defaultdict(set)
+    for r in rounds.collect():
+        again[r.root].add(r.node)
+    assert sorted(map(sorted, again.values())) == sorted(map(sorted, want.values()))
     assert related.forest(spark.createDataFrame([], "a long, b long"))[0].count() == 0
 
 
