@@ -43,6 +43,8 @@ FIT_ROWS, FIT_LEAST = 4_000, 12
 LANGUAGE_WORDS, MARGIN = 12, 0.05
 #: Share of function words from which a prompt's language is clear, and up to which the response has none of it.
 CLEAR, MISSING = 0.2, 0.05
+#: What a cut may leave at a text's end, beside three dots.
+_LEFT = " \t\n\r\f\u00a0\u200b\u2028\u2029…\ufffd\\"
 #: Characters of a response that another one to its prompt may go on from; fewer are an opening.
 STEM = 40
 
@@ -277,7 +279,9 @@ def shortened(df: DataFrame, prompt: str, text: str) -> DataFrame:
     a stem follows it there. Shorter stems are openings, not shortened texts. One row a partition ties the ranges together.
     """
     ship(df.sparkSession)
-    stem = F.regexp_replace(F.col(text).cast("string"), r"(?U)(?:\s|…|\uFFFD|\\|\.{3})+\z", "")
+    left = lambda x: F.rtrim(x, F.lit(_LEFT))
+    bare = left(F.col(text).cast("string"))
+    stem = F.when(F.endswith(bare, F.lit("...")), left(F.substring(bare, F.lit(1), F.length(bare) - 3))).otherwise(bare)
     texts = df.select(F.xxhash64(F.col(prompt).cast("string")).alias("p"), stem.alias("stem"), F.xxhash64(F.col(text).cast("string")).alias("h")).where(F.length("stem") >= STEM).withColumn("o", F.xxhash64(F.substring("stem", 1, STEM)))
     openings = materialize(spread(texts).select("p", "o", "h"))
     alike = materialize(openings.groupBy("p", "o").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("p", "o"))
