@@ -298,8 +298,20 @@ every AS (SELECT split, eval_line, train_line, max(s) AS s FROM (
 )
 _WINDOWS = """WITH g AS (SELECT doc_id, i, substring(text, i::INT, 300) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
 held AS (SELECT g, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1)"""
+_BLANK = r"\t\x{0B}\x{0C}\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 SQL: dict[str, str] = {
+    "p10_clean": _WINDOWS
+    + rf""", m AS (SELECT g.doc_id, g.i FROM g JOIN held USING (g) WHERE held.first < g.doc_id),
+st AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 300 THEN 0 ELSE 1 END AS new FROM m),
+il AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM st),
+gone AS (SELECT doc_id, min(i) - 1 AS lo, max(i) + 299 AS hi FROM il GROUP BY doc_id, island),
+se AS (SELECT doc_id, regexp_extract_all(text, '[^.!?…\n]*(?:[.!?…]+[”“»"'')\]]*[{_BLANK}]*\n?|\n|$)') AS ss FROM documents WHERE doc_id IN (SELECT doc_id FROM gone)),
+ea AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS k, unnest(list_transform(range(len(ss)), lambda j: coalesce(list_sum(list_transform(ss[1:j], lambda y: length(y))), 0))) AS start FROM se),
+go AS (SELECT DISTINCT doc_id, k FROM (SELECT *, start + length(regexp_replace(s, '[\n{_BLANK}]+$', '')) AS body FROM ea) e JOIN gone USING (doc_id) WHERE e.body > e.start AND gone.lo <= e.start AND e.body <= gone.hi),
+ke AS (SELECT doc_id, coalesce(string_agg(s, '' ORDER BY k) FILTER (go.k IS NULL), '') AS t FROM ea LEFT JOIN go USING (doc_id, k) GROUP BY doc_id),
+fi AS (SELECT text, min(doc_id) AS first FROM documents WHERE length(text) >= 300 GROUP BY text)
+SELECT d.doc_id, CASE WHEN fi.first < d.doc_id THEN '' WHEN ke.t IS NOT NULL THEN ke.t ELSE d.text END AS text FROM documents d LEFT JOIN fi ON d.text = fi.text LEFT JOIN ke ON d.doc_id = ke.doc_id""",
     "p3_groups": "WITH RECURSIVE "
     + _NEAR
     + """, ed AS (SELECT id_a AS x, id_b AS y FROM near UNION ALL SELECT id_b, id_a FROM near),
