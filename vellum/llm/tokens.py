@@ -72,7 +72,7 @@ class PerfectHash:
 
 
 class Encoder(dict):
-    """Ids of each pre-token, remembered up to ``MEMO`` of them."""
+    """Ids of each pre-token, remembered up to ``MEMO`` of them or as many as one batch has."""
 
     def __init__(self, rank_file: bytes) -> None:
         super().__init__()
@@ -84,13 +84,15 @@ class Encoder(dict):
             self.tokens[at], self.ids[at] = token, rank
         self.split = regex.compile(PATTERN).findall
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MEMO:
+    def learn(self, pieces: set[str]) -> None:
+        """Look up all pre-tokens that aren't known yet, in one call of the hash; those that are no tokens are merged."""
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > MEMO:
             self.clear()
-        raw = piece.encode("utf-8", "surrogatepass")
-        at = int(self.hash([raw])[0])
-        self[piece] = out = (self.ids[at],) if at >= 0 and self.tokens[at] == raw else tuple(self.merge(raw))
-        return out
+            new = list(pieces)
+        raws = [p.encode("utf-8", "surrogatepass") for p in new]
+        for piece, raw, at in zip(new, raws, self.hash(raws).tolist(), strict=True):
+            self[piece] = (self.ids[at],) if at >= 0 and self.tokens[at] == raw else tuple(self.merge(raw))
 
     def merge(self, raw: bytes) -> list[int]:
         """Merge the pair of least rank, the leftmost of equal ones, until no pair is a token."""
@@ -117,9 +119,15 @@ class Encoder(dict):
             i = after[i]
         return out
 
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's ids."""
+        each = [self.split(t) if t else [] for t in texts]
+        self.learn(set(chain.from_iterable(each)))
+        return [np.fromiter(chain.from_iterable(map(self.__getitem__, x)), np.int32) for x in each]
+
     def encode(self, text: str) -> np.ndarray:
         """The text's ids."""
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.split(text))), np.int32)
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -142,10 +150,10 @@ def token_ids(df: DataFrame, doc: str = "doc_id", text: str = "text", vocabulary
     shipped = df.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shipped.value).encode
+        encode_all = encoder(shipped.value).encode_all
         for whole in batches:
             for b in slices(whole, "text"):
-                each = [encode(t) if t else np.empty(0, np.int32) for t in b.column(1).to_pylist()]
+                each = encode_all(b.column(1).to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in each])])
                 yield pa.RecordBatch.from_arrays([b.column(0), lists(np.concatenate(each), ends, pa.int32())], [doc, "ids"])
 
