@@ -183,7 +183,7 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prompts, texts = b.column(2).to_pylist(), b.column(3).to_pylist()
         out = []
         for p, t in zip(prompts, texts, strict=True):
-            defect, k, share = None, 0, 0.0
+            defect, k, share, unsure = None, 0, 0.0, False
             wp, wt = WORD.findall(p or ""), WORD.findall(t or "")
             cp, ct = codes(wp), codes(wt)
             if is_empty(t):
@@ -201,13 +201,15 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     defect = "copy"
                 elif other_language(p, t, (cp, ct)):
                     defect = "language"
+                    b_ = _prevails(_shares(ct))
+                    unsure = not _foreign(t) and (b_ is None or b_ == _prevails(_shares(cp)))
             t = t or ""
             bare = t.strip()
-            out.append((defect, k, share, log((len(wt) + 1) / (len(wp) + 1)), ending(t, p), len(t), len(bare), len(t.encode("utf-8", "surrogatepass")), len(bare.encode("utf-8", "surrogatepass"))))
-        cols = list(zip(*out, strict=True)) or [()] * 9
-        kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string(), *[pa.int64()] * 4]
+            out.append((defect, unsure, k, share, log((len(wt) + 1) / (len(wp) + 1)), ending(t, p), len(t), len(bare), len(t.encode("utf-8", "surrogatepass")), len(bare.encode("utf-8", "surrogatepass"))))
+        cols = list(zip(*out, strict=True)) or [()] * 10
+        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.string(), *[pa.int64()] * 4]
         made = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), *made], ["key", "source", "p", "h", "defect", "taken", "share", "longer", "ending", *MEASURES])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), *made], ["key", "source", "p", "h", "defect", "unsure", "taken", "share", "longer", "ending", *MEASURES])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -298,9 +300,11 @@ def pair_defects(df: DataFrame, key: str = "line_no", prompt: str = "clean", res
     """``key, source, defect``: each row of ``df`` with its kind of defect, null if it has none."""
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(prompt).cast("string").alias("prompt"), F.col(response).cast("string").alias("text"))
     hashed = rows.select("*", F.xxhash64("prompt").alias("p"), F.xxhash64("text").alias("h"))
-    feats = materialize(spread(hashed).mapInArrow(_rules, "key long, source string, p long, h long, defect string, taken long, share double, longer double, ending string, " + ", ".join(f"{m} long" for m in MEASURES)))
+    feats = materialize(spread(hashed).mapInArrow(_rules, "key long, source string, p long, h long, defect string, unsure boolean, taken long, share double, longer double, ending string, " + ", ".join(f"{m} long" for m in MEASURES)))
     cut = materialize(shortened(df, prompt, response))
     told = judged(feats).join(bounded(cut.withColumn("more", F.lit(True))), ["p", "h"], "left")
     truncated = F.col("truncated") | F.coalesce("more", F.lit(False))
     refusal = (F.col("ending") == "closed") & _refuses(feats)
-    return told.select("key", "source", F.coalesce("defect", F.when(truncated, F.lit("truncated")).when(refusal, F.lit("refusal"))).alias("defect"))
+    # Where only the prompt's function words are missing, a short text may as well decline.
+    kind = F.when(F.col("unsure") & refusal, F.lit("refusal")).otherwise(F.col("defect"))
+    return told.select("key", "source", F.coalesce(kind, F.when(truncated, F.lit("truncated")).when(refusal, F.lit("refusal"))).alias("defect"))
