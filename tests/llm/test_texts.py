@@ -95,6 +95,71 @@ def test_a_cluster_unites_bands(spark):
     assert len({r.cluster for r in found}) == 1 and len(found) >= 10 and not any(r.exact for r in found)
 
 
+def linked(rows):
+    """The lines of repeated clusters by plain comparison of all skeletons, two by two."""
+    size, has, at = Counter(g for _, g, _ in rows), defaultdict(set), defaultdict(list)
+    for rec, g, t in rows:
+        for i, x in enumerate(t.split("\n")):
+            at[g, lines.normal(x)].append((rec, i))
+            has[g, lines.normal(x)].add(frozenset(lines.skeleton(x).tolist()))
+    top = {f: f for f in at}
+
+    def root(f):
+        while top[f] != f:
+            f = top[f]
+        return f
+
+    for a in at:
+        for b in at:
+            if a < b and a[0] == b[0] and any(5 * len(x & y) >= 4 * len(x | y) for x in has[a] for y in has[b] if x and y):
+                top[root(a)] = root(b)
+    whole = defaultdict(list)
+    for f in at:
+        whole[root(f)] += at[f]
+    return {(*o, f) for f, os in whole.items() if len({r for r, _ in os}) >= max(4, 0.1 * size[f[0]]) for o in os}
+
+
+def ladders(groups=4, rows=40, near=8):
+    """Lines that differ from the next one of a chain by as much as a tie allows, of many lengths; chains are just repeated or just not."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(3))
+    out = []
+    for g in range(groups):
+        texts = [[f"{word()} {word()} own"] for _ in range(rows)]
+        for n in (4, 5, 8, 9, 18, 27, 45, 90):
+            line = [word() for _ in range(n)]
+            for t in rng.sample(texts, near if n % 2 else 5):
+                t.append(" ".join(line))
+                line = list(line)
+                if n < 9:
+                    line.append(word()) if len(line) == n else line.pop()
+                else:
+                    for i in rng.sample(range(n), n // 9):
+                        line[i] = word()
+        out += [(g * rows + i, f"g{g}", "\n".join(t)) for i, t in enumerate(texts)]
+    return out
+
+
+@pytest.mark.parametrize("bucket", [8192, 12])
+def test_no_tie_of_lines_is_left_out(spark, monkeypatch, bucket):
+    monkeypatch.setattr(lines, "BUCKET", bucket, raising=False)
+    rows = ladders()
+    df = spark.createDataFrame(rows, "rec long, grp string, text string")
+    found = lines.repeated_lines(df, "grp", "rec").collect()
+    want = linked(rows)
+    assert {(r.rec, r.pos) for r in found} == {o[:2] for o in want} and len(want) > 150
+    cluster = {o[:2]: o[2] for o in want}
+    assert len({(r.cluster, cluster[r.rec, r.pos]) for r in found}) == len({r.cluster for r in found}) == len(set(cluster.values()))
+
+
+def test_every_writing_of_a_line_may_tie_it(spark):
+    # The same form twice in a row, once in capitals: its second writing alone is near to the notice.
+    notice = "printed for the readers of the river library and the mill"
+    texts = [f"{notice.upper()}\n{notice}" if i == 0 else f"{notice} {x}" for i, x in enumerate(("", "alpha", "beta", "gamma"))]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "rec long, grp string, text string")
+    assert {(r.rec, r.pos) for r in lines.repeated_lines(df, "grp", "rec").collect()} == {(0, 0), (0, 1), (1, 0), (2, 0), (3, 0)}
+
+
 def test_lines_of_two_tables(spark):
     rows = [(t, i, "s", f"Page {i} of this\n{t} {chr(97 + i)}") for t in "ab" for i in range(5)] + [("b", 9 + i, "s", f"more {i}x{chr(97 + i)}") for i in range(80)]
     df = spark.createDataFrame(rows, "t string, rec long, grp string, text string")
